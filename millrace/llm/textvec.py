@@ -21,6 +21,8 @@ _WORD[ord("0") : ord("9") + 1] = True
 _WORD[ord("a") : ord("z") + 1] = True
 _WORD[ord("A") : ord("Z") + 1] = True
 _WORD[128:] = True
+LETTERS = _WORD.copy()
+LETTERS[ord("0") : ord("9") + 1] = False
 _powers: list[np.ndarray] = []
 
 
@@ -69,9 +71,9 @@ def blocks(texts: pa.Array | pa.ChunkedArray, lower: bool = True, most: int = BL
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, and for each document the number of the first of its words (one more at the end)."""
-    inside = _WORD[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, runs of the bytes in ``table``, and for each document the number of the first of its words (one more at the end)."""
+    inside = table[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     edges = offsets[1:-1]
@@ -132,3 +134,12 @@ def distinct_in_documents(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray
     if not values:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.cumsum(lengths)
     return np.concatenate(values), np.concatenate(counts), np.cumsum(lengths)
+
+
+def document_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums over each document's rows, zero for none; they don't depend on the other documents of the block."""
+    out = np.zeros((len(bounds) - 1, *values.shape[1:]), np.float64)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some] = np.add.reduceat(values, bounds[:-1][some], axis=0, dtype=np.float64)
+    return out
