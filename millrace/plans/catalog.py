@@ -1,4 +1,5 @@
 """All queries over the library's operators, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

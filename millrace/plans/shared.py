@@ -1,0 +1,21 @@
+"""The folder that all machines share, as the session names it."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under ``spark.checkpoint.dir``; only where that is unset, as in tests, under a temporary folder of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        own = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, own, True)
+        base = f"file://{own}"
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
