@@ -27,7 +27,7 @@ from .staging import stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HEAD = 1 << 20
+HEAD = 1 << 20  # at most this, for the numbers of words travel in one to three bytes
 _FLUSH = 200_000
 _made: dict[int, tiktoken.Encoding] = {}
 
@@ -90,6 +90,39 @@ def frequent(table: DataFrame, most: int = HEAD) -> tuple[DataFrame, DataFrame]:
     return table.where(kind >= cut), table.where(kind < cut)
 
 
+_ONE, _TWO = 192, 192 + 48 * 256
+
+
+def pack_numbers(code: np.ndarray, missing: list[str]) -> bytes:
+    """Numbers of words in one to three bytes, the first bytes of all before the others, then the missing words with their lengths."""
+    y, z = code - _ONE, code - _TWO
+    size = np.where(code < _ONE, 1, np.where(code < _TWO, 2, 3))
+    first = np.where(size == 1, code, np.where(size == 2, 192 + (y >> 8), 240 + (z >> 16))).astype(np.uint8)
+    more = np.stack([np.where(size == 2, y, z >> 8) & 255, z & 255], 1).astype(np.uint8)[np.arange(2) < (size - 1)[:, None]]
+    words = [w.encode() for w in missing]
+    return b"".join([np.array([len(code), len(words), len(more)], np.uint32).tobytes(), first.tobytes(), more.tobytes(), np.array([len(w) for w in words], np.uint32).tobytes(), *words])
+
+
+def unpack_numbers(body: bytes) -> tuple[np.ndarray, list[str]]:
+    """What :func:`pack_numbers` packed."""
+    n, gaps, rest = np.frombuffer(body, np.uint32, 3).tolist()
+    first = np.frombuffer(body, np.uint8, n, 12).astype(np.int64)
+    more = np.append(np.frombuffer(body, np.uint8, rest, 12 + n), [0, 0]).astype(np.int64)
+    size = (first >= 192).astype(np.int64) + (first >= 240)
+    at = np.minimum(np.cumsum(size) - size, rest)
+    two = ((first - 192) << 8 | more[at]) + _ONE
+    three = ((first - 240) << 16 | more[at] << 8 | more[at + 1]) + _TWO
+    code = np.where(size == 0, first, np.where(size == 1, two, three))
+    at_ = 12 + n + rest
+    lengths = np.frombuffer(body, np.uint32, gaps, at_) if gaps else np.zeros(0, np.uint32)
+    at_ += 4 * gaps
+    words = []
+    for k in lengths.tolist():
+        words.append(body[at_ : at_ + k].decode())
+        at_ += k
+    return code, words
+
+
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> DataFrame:
     """(doc_id, ids, text_hash): the ids of each row's whole text, and a hash of the text for comparison.
 
@@ -104,83 +137,84 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = stage(encode_words(count_words(docs), ranks), "words")
     top, rest = frequent(table, head)
-    known = top.select("word", "ids").toArrow()  # at most `head` words
-    flat = known.column("ids").combine_chunks()
-    values, bounds = flat.values.to_numpy().astype(narrow), flat.offsets.to_numpy()
-    data = values.tobytes()
-    width = narrow().itemsize
-    lookup = {w: data[a * width : b * width] for w, a, b in zip(known.column("word").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist())}
-    shared = spark.sparkContext.broadcast(lookup)
-    del lookup, known
-
-    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, get = regex.compile(PATTERN).findall, shared.value
-        for batch in batches:
-            word, doc, own, number = [], [], [], []
-            for d, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                missing = [w for w in split(text.as_py() or "") if w not in get]
-                word += missing
-                doc += [d] * len(missing)
-                own += [h] * len(missing)
-                number += range(len(missing))
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(doc, pa.int64()), pa.array(own, pa.int64()), pa.array(number, pa.int32())], ["word", "doc", "hash", "number"])
-
-    def known_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, get = regex.compile(PATTERN).findall, shared.value.get
-        pack = zstandard.ZstdCompressor(level=1).compress
+    known = top.select("word", "ids", "n").toArrow()  # at most `head` words
+    # frequent words get small numbers, which take little room when they travel
+    order = np.lexsort((known.column("word").to_numpy(), -known.column("n").to_numpy())) if len(known) else np.zeros(0, np.int64)
+    words = known.column("word").take(pa.array(order)).to_pylist()
+    flat = known.column("ids").combine_chunks().take(pa.array(order))
+    # number 0 is a gap, without ids of its own
+    starts = np.concatenate([[0], flat.offsets.to_numpy()]).astype(np.int64)
+    numbers = spark.sparkContext.broadcast({w: k for k, w in enumerate(words, 1)})
+    pieces = spark.sparkContext.broadcast((starts, flat.values.to_numpy().astype(narrow)))
+    del known, words, flat
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, get = regex.compile(PATTERN).findall, numbers.value.get
+        pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
         for batch in batches:
-            ids, at = [], []
-            for text in batch.column(2):
+            bodies = []
+            for text in batch.column(3):
                 text = text.as_py()
                 if text is None:
-                    ids.append(None)
-                    at.append([])
+                    bodies.append(None)
                     continue
-                parts = list(map(get, split(text)))
-                here: list[int] = []
-                if None in parts:
-                    n = 0
-                    for k, p in enumerate(parts):
-                        if p is None:
-                            here.append(n)
-                            parts[k] = b""
-                        else:
-                            n += len(p) // width
-                ids.append(pack(b"".join(parts)))
-                at.append(here)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(at, pa.list_(pa.int32()))], ["doc", "hash", "ids", "gaps"])
+                words = split(text)
+                code = np.array([get(w, 0) for w in words], np.int64)
+                bodies.append(pack(pack_numbers(code, [words[k] for k in np.flatnonzero(code == 0)])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(bodies, pa.binary())], ["key", "own", "doc", "body"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            words: list[str] = []
+            n = []
+            for body in batch.column(3):
+                missing = unpack_numbers(unpack(body.as_py()))[1] if body.is_valid else []
+                words += missing
+                n.append(len(missing))
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            at = np.concatenate([np.zeros(0, np.int64), *map(np.arange, n)])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column(0).take(row), batch.column(1).take(row), pa.array(at, pa.int32())], ["word", "key", "own", "number"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
+        begin, every = pieces.value
         for batch in batches:
             out = []
-            numbers, found = batch.column(4), batch.column(5)
             for k in range(len(batch)):
                 body = batch.column(2)[k].as_py()
                 if body is None:
                     out.append(None)
                     continue
-                ids = np.frombuffer(unpack(body), narrow).astype(np.int32)
-                here = batch.column(3)[k].as_py()
-                if here:
-                    by = dict(zip(numbers[k].as_py() or [], found[k].as_py() or []))
-                    parts, before = [], 0
-                    for j, g in enumerate(here):
-                        parts += [ids[before:g], np.array(by[j], np.int32)]
-                        before = g
-                    ids = np.concatenate([*parts, ids[before:]])
+                code, missing = unpack_numbers(unpack(body))
+                size = begin[np.minimum(code + 1, len(begin) - 1)] - begin[code]
+                gaps = np.flatnonzero(code == 0)
+                given: list[list[int]] = []
+                if len(gaps):
+                    by = dict(zip(batch.column(3)[k].as_py() or (), batch.column(4)[k].as_py() or ()))
+                    if len(by) != len(missing):
+                        raise RuntimeError("a word isn't in the table of distinct words")
+                    given = [by[j] for j in range(len(gaps))]
+                    size[gaps] = [len(g) for g in given]
+                ends = np.cumsum(size)
+                take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[code] - (ends - size), size)
+                for g in gaps:
+                    take[ends[g] - size[g] : ends[g]] = 0
+                ids = every[take].astype(np.int32) if len(every) else np.zeros(len(take), np.int32)
+                for g, own in zip(gaps, given):
+                    ids[ends[g] - size[g] : ends[g]] = own
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), batch.column(1)], ["doc_id", "ids", "text_hash"])
 
-    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("hash"), "text")
-    asked = keyed.mapInArrow(gaps, "word string, doc long, hash long, number int")
-    answers = asked.join(rest.select("word", "ids"), "word")
-    key = F.coalesce("doc", F.lit(-(1 << 63)))
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    keyed = docs.select(key.alias("key"), F.xxhash64("text").alias("own"), F.col("doc_id").alias("doc"), "text")
+    # both uses read this one exchange, so texts are split once here
+    coded = keyed.mapInArrow(number, "key long, own long, doc long, body binary").repartition("key", "own")
+    answers = coded.mapInArrow(ask, "word string, key long, own long, number int").join(rest.select("word", "ids"), "word")
     # a repeated row asks the same again: a set
-    by_doc = answers.groupBy(key.alias("key"), F.col("hash").alias("own")).agg(F.collect_set(F.struct("number", "ids")).alias("got"))
-    partial = keyed.mapInArrow(known_ids, "doc long, hash long, ids binary, gaps array<int>")
-    both = partial.alias("p").join(by_doc.alias("q"), (F.coalesce("p.doc", F.lit(-(1 << 63))) == F.col("q.key")) & (F.col("p.hash") == F.col("q.own")), "left")
-    return both.select("doc", "hash", "p.ids", "gaps", F.col("got.number").alias("number"), F.col("got.ids").alias("found")).mapInArrow(fill, "doc_id long, ids array<int>, text_hash long")
+    found = answers.groupBy("key", "own").agg(F.collect_set(F.struct("number", "ids")).alias("got"))
+    both = coded.join(found, ["key", "own"], "left")
+    return both.select("doc", "own", "body", F.col("got.number").alias("number"), F.col("got.ids").alias("found")).mapInArrow(fill, "doc_id long, ids array<int>, text_hash long")
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
