@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions import messages as M
+from ..sources.shared import written
 
 
 def number_rows(df: DataFrame, *order: Column | str, name: str = "pos") -> DataFrame:
     """Rows numbered from 0 in the order given, without a single-task window.
 
-    Rows are sorted by range, each partition is numbered on its own, and the partitions' counts (one row
-    each) shift the numbers.
+    Rows are sorted by range and written with their place within their partition; the partitions' counts,
+    one row each, shift the places. They are written because bounds of ranges are sampled: sorted twice,
+    rows could fall into other partitions than those that were counted.
     """
-    ordered = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    ordered = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted").withColumn("_part", F.shiftright("_at", 33))
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    # within a partition ids are consecutive, so no window over rows is needed; there is one row a partition to broadcast
+    # there is one row a partition to broadcast
     return ordered.join(F.broadcast(before), "_part").withColumn(name, (F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before")).cast("long")).drop("_at", "_part", "_before")
 
 

@@ -457,7 +457,7 @@ def dedup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The user turns that a stream over the conversations lets through, written to the shared folder and read again."""
     from ..streaming.samples import drop_known, keep, read_stream, run_once
-    from .shared import new_folder
+    from ..sources.shared import new_folder
 
     like = table(spark, sf_dir, "conversations")
     stream = keep(read_stream(spark, f"{sf_dir}/conversations*.parquet", like), F.lower("role").isin("user", "human"))
