@@ -73,6 +73,24 @@ class HttpBackend:
             raise RetryableError(repr(e)) from e
 
 
+@dataclass(frozen=True)
+class HttpRunner:
+    """A service that runs code: posts code and language, and gives the status that it says."""
+
+    base_url: str
+    language: str = "bash"
+    timeout: float = 60.0
+
+    def __call__(self, code: str) -> str:
+        body = json.dumps({"code": code, "language": self.language}).encode()
+        request = urllib.request.Request(f"{self.base_url.rstrip('/')}/run_code", body, {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as r:
+                return str(json.load(r)["status"])
+        except (urllib.error.URLError, TimeoutError, json.JSONDecodeError, KeyError, TypeError) as e:
+            raise RetryableError(repr(e)) from e
+
+
 @dataclass
 class FakeBackend:
     """A model without a network: its answer is a pure function of the messages. ``failures`` has, by text of the last message, how many first attempts fail in each worker."""

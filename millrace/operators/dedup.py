@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..registry import dedup
+
 BLOCK = 2048
 
 
@@ -167,4 +169,5 @@ def nearest(source: DataFrame, reference: DataFrame | None = None, k: int = 1, k
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-FUNCTIONS = {"embedding_similarity": embedding_similarity, "exact_match": exact_match, "jaccard_similarity": jaccard_similarity}
+for _name, _function in (("embedding_similarity", embedding_similarity), ("exact_match", exact_match), ("jaccard_similarity", jaccard_similarity)):
+    dedup(_name)(_function)

@@ -12,7 +12,7 @@ from .external.backend import get_backend
 from .functions import messages as M
 from .functions.plain import log, part_name
 from .operators import dataset, dedup, filters, sampling, stats, transforms
-from .registry import TRANSFORMS
+from .registry import DEDUPS, TRANSFORMS
 from .sources import samples as S
 
 TASKS: dict[str, Callable[..., Any]] = {}
@@ -99,8 +99,10 @@ def dedup_(spark: SparkSession, source_file: Sequence[str], output_file: str, de
     elif dedup_function == "embedding_similarity":
         with_vector = lambda df: embed(df, "text", get_embedder(embedder or ""), batch=batch_size)
         left = dedup.embedding_similarity(with_vector(source), None if reference is None else with_vector(reference), **options).drop("embedding")
+    elif dedup_function in DEDUPS:
+        left = DEDUPS[dedup_function](source, reference, **options)
     else:
-        left = dedup.FUNCTIONS[dedup_function](source, reference, **options)
+        raise ValueError(f"no dedup function {dedup_function}; there are {sorted(DEDUPS)}")
     write(_renumber(left.drop("text")), output_file)
 
 

@@ -214,6 +214,40 @@ def test_backends():
         get_embedder("none")
 
 
+def test_http(tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from millrace.external.backend import HttpBackend, HttpRunner, chat_once
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, body))
+            bad = body.get("model") == "busy" and len(seen) < 2
+            self.send_response(503 if bad else 400 if body.get("model") == "wrong" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"status": "Success", "choices": [{"text": "t"} if "prompt" in body else {"message": {"content": "m"}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    turn = [{"role": "user", "content": "hi"}]
+    quick = Retry(attempts=3, first=0, jitter=0)
+    assert chat_once(HttpBackend("busy", url), turn, {"temperature": 0}, quick) == "m" and len(seen) == 2 and seen[1][1]["temperature"] == 0
+    assert chat_once(HttpBackend("x", url, completion=True), turn, {}, quick) == "t" and seen[-1][0] == "/completions"
+    with pytest.raises(CallError):
+        chat_once(HttpBackend("wrong", url), turn, {}, quick)
+    assert HttpRunner(url)("echo 1") == "Success" and seen[-1][1] == {"code": "echo 1", "language": "bash"}
+    server.shutdown()
+
+
 def test_embed(spark):
     df = spark.createDataFrame([("a",), (None,), ("bcd",)], "text string")
     assert [r.embedding for r in calls.embed(df, "text", lambda ts: [[float(len(t))] for t in ts], batch=1).collect()] == [[1.0], None, [3.0]]
