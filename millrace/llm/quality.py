@@ -7,6 +7,7 @@ labelled rows; everything else covers all documents.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -89,16 +90,20 @@ def train(texts: pa.Array, good: np.ndarray, bits: int = BITS, epochs: int = 12,
     if len(good) < 8 or good.min() == good.max():
         p = (good.sum() + 1) / (len(good) + 2)
         return QualityModel(weights, 0.0, 1.0, float(np.log(p / (1 - p))))
-    rows: list[list[tuple[np.ndarray, np.ndarray]]] = []
-    for _, _, data, offsets in blocks(texts, lower=False):
+    # one row a document: features of all kinds, how often each occurs, and the totals by kind
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    totals = np.zeros((len(good), kinds), np.float32)
+    for at, to, data, offsets in blocks(texts, lower=False):
         per = list(indices(data, offsets, bits))
-        for d in range(len(offsets) - 1):
-            row = []
-            for k, (index, bounds) in enumerate(per):
-                value, count = np.unique(index[bounds[d] : bounds[d + 1]], return_counts=True)
-                row.append((value + (k << bits), (count / (count.sum() + SMOOTH)).astype(np.float32)))
-            rows.append(row)
-    flat = [(np.concatenate([i for i, _ in r]), np.concatenate([v for _, v in r])) for r in rows]
+        for d in range(to - at):
+            parts = [np.unique(index[bounds[d] : bounds[d + 1]], return_counts=True) for index, bounds in per]
+            totals[at + d] = [count.sum() for _, count in parts]
+            rows.append((np.concatenate([value + (k << bits) for k, (value, _) in enumerate(parts)]).astype(np.int32), np.concatenate([np.minimum(count, 65535) for _, count in parts]).astype(np.uint16)))
+
+    def row(d: int) -> tuple[np.ndarray, np.ndarray]:
+        index, count = rows[d]
+        return index, count / (totals[d] + SMOOTH)[index >> bits]
+
     part = np.arange(len(good)) % 4
     fit, hold = np.flatnonzero(part != 3), np.flatnonzero(part == 3)
     share = good[fit].mean()
@@ -111,9 +116,10 @@ def train(texts: pa.Array, good: np.ndarray, bits: int = BITS, epochs: int = 12,
         order = rng.permutation(fit)
         for at in range(0, len(order), 64):
             batch = order[at : at + 64]
-            index = np.concatenate([flat[d][0] for d in batch])
-            value = np.concatenate([flat[d][1] for d in batch])
-            own = np.repeat(np.arange(len(batch)), [len(flat[d][0]) for d in batch])
+            got = [row(d) for d in batch]
+            index = np.concatenate([i for i, _ in got])
+            value = np.concatenate([v for _, v in got])
+            own = np.repeat(np.arange(len(batch)), [len(i) for i, _ in got])
             m = bias + np.bincount(own, w[index] * value, len(batch))
             e = (1 / (1 + np.exp(-np.clip(m, -40, 40))) - good[batch]) / len(batch)
             seen, where = np.unique(index, return_inverse=True)
@@ -123,7 +129,7 @@ def train(texts: pa.Array, good: np.ndarray, bits: int = BITS, epochs: int = 12,
             b2 += e.sum() ** 2
             bias -= 0.1 * e.sum() / b2**0.5
     model = QualityModel(w.reshape(kinds, 1 << bits), float(bias), 1.0, 0.0)
-    m = np.array([bias + float((w[flat[d][0]] * flat[d][1]).sum()) for d in hold])
+    m = np.array([bias + float((w[i] * v).sum()) for i, v in map(row, hold)])
     slope, offset = platt(m, good[hold])
     return QualityModel(model.weights, model.bias, slope, offset)
 
@@ -150,12 +156,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qua
     own = own.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` rows of two numbers are broadcast
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null").join(F.broadcast(own), "doc_id")
-    table = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).toArrow()
-    ids = table.column("doc_id").to_numpy()
-    order = np.argsort(((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0x5555), kind="stable")
-    texts = table.column("text").combine_chunks()
-    texts = texts.take(pa.array(order)) if len(ids) else pa.array([], pa.string())
-    return train(texts, table.column("quality").to_numpy()[order] if len(ids) else np.zeros(0))
+    once = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        ids = table.column("doc_id").to_numpy()
+        order = np.argsort(((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0x5555), kind="stable")
+        model = train(table.column("text").combine_chunks().take(pa.array(order)), table.column("quality").to_numpy()[order])
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # the bounded sample is one group, fitted in a task, so that only the weights come to the driver
+    fitted = once.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit, "model binary").collect()
+    return pickle.loads(bytes(fitted[0]["model"])) if fitted else train(pa.array([], pa.string()), np.zeros(0))
 
 
 def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
