@@ -13,7 +13,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,9 +162,9 @@ def identified(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY)
     """``docs`` with a struct (lang, languages, share, words) in a column named as by ``score_name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(_KIND)
-    def name(texts: pd.Series) -> pd.DataFrame:
-        found, words = identify(pa.array(texts, pa.string(), from_pandas=True), shared.value, penalty)
+    @F.arrow_udf(_KIND)
+    def name(texts: pa.Array) -> pa.Array:
+        found, words = identify(texts, shared.value, penalty)
         names = (*shared.value.names, "und")
         lang, several, share = [], [], []
         for row, n in zip(np.round(found, 4), words):
@@ -175,7 +174,7 @@ def identified(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY)
             lang.append("und" if und else names[known[0]])
             several.append(",".join(f"{names[k]}:{row[k]:.4f}" for k in order))
             share.append(float(row[order[0]]) if order else 0.0)
-        return pd.DataFrame({"lang": lang, "languages": several, "share": share, "words": words})
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(several, pa.string()), pa.array(share, pa.float64()), pa.array(words, pa.int64())], ["lang", "languages", "share", "words"])
 
     return docs.withColumn(score_name(docs), name.asNondeterministic()(F.col("text").cast("string")))
 

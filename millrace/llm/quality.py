@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,19 +89,28 @@ def train(texts: pa.Array, good: np.ndarray, bits: int = BITS, epochs: int = 12,
     if len(good) < 8 or good.min() == good.max():
         p = (good.sum() + 1) / (len(good) + 2)
         return QualityModel(weights, 0.0, 1.0, float(np.log(p / (1 - p))))
-    # one row a document: features of all kinds, how often each occurs, and the totals by kind
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    # by blocks of documents: features of all kinds, how often each occurs, bounds; and the totals by kind
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    of: list[tuple[int, int]] = []
     totals = np.zeros((len(good), kinds), np.float32)
     for at, to, data, offsets in blocks(texts, lower=False):
         per = list(indices(data, offsets, bits))
+        index, many, ends = [], [], [0]
         for d in range(to - at):
-            parts = [np.unique(index[bounds[d] : bounds[d + 1]], return_counts=True) for index, bounds in per]
-            totals[at + d] = [count.sum() for _, count in parts]
-            rows.append((np.concatenate([value + (k << bits) for k, (value, _) in enumerate(parts)]).astype(np.int32), np.concatenate([np.minimum(count, 65535) for _, count in parts]).astype(np.uint16)))
+            for k, (all_, bounds) in enumerate(per):
+                value, count = np.unique(all_[bounds[d] : bounds[d + 1]], return_counts=True)
+                totals[at + d, k] = count.sum()
+                index.append((value + (k << bits)).astype(np.int32))
+                many.append(np.minimum(count, 65535).astype(np.uint16))
+            ends.append(ends[-1] + sum(map(len, index[-kinds:])))
+            of.append((len(held), d))
+        held.append((np.concatenate(index), np.concatenate(many), np.array(ends)))
 
     def row(d: int) -> tuple[np.ndarray, np.ndarray]:
-        index, count = rows[d]
-        return index, count / (totals[d] + SMOOTH)[index >> bits]
+        block, k = of[d]
+        index, many, ends = held[block]
+        own = slice(ends[k], ends[k + 1])
+        return index[own], many[own] / (totals[d] + SMOOTH)[index[own] >> bits]
 
     part = np.arange(len(good)) % 4
     fit, hold = np.flatnonzero(part != 3), np.flatnonzero(part == 3)
@@ -174,11 +182,11 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        m, some = margins(pa.array(texts, pa.string(), from_pandas=True), shared.value)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        m, some = margins(texts, shared.value)
         p = np.where(some, shared.value.probability(m), 0.0)
-        return pd.Series(np.round(p, 6))
+        return pa.array(np.round(p, 6))
 
     # nondeterministic in name only: a filter on the score isn't pushed below it, which would score twice
     return docs.withColumn(score_name(docs), score.asNondeterministic()(F.col("text").cast("string")))
