@@ -65,16 +65,16 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode_words(words: DataFrame, ranks) -> DataFrame:
-    """(word, n, ids): each row of ``words`` encoded; ``ranks`` is a broadcast of the vocabulary."""
+def encode_words(words: DataFrame, ranks, kind: type = np.int32) -> DataFrame:
+    """(word, n, ids): each row of ``words`` encoded, ids as bytes of a number ``kind``; ``ranks`` is a broadcast of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(ranks)._core_bpe.encode_single_piece
         for batch in batches:
-            ids = [encode(w.encode()) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            ids = [np.array(encode(w.encode()), kind).tobytes() for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
-    return words.mapInArrow(run, "word string, n long, ids array<int>")
+    return words.mapInArrow(run, "word string, n long, ids binary")
 
 
 def frequent(table: DataFrame, most: int = HEAD) -> tuple[DataFrame, DataFrame]:
@@ -135,18 +135,18 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> D
     ranks = spark.sparkContext.broadcast(ranks_)
     narrow = np.uint16 if max(ranks_.values()) < 1 << 16 else np.int32
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = stage(encode_words(count_words(docs), ranks), "words")
+    table = stage(encode_words(count_words(docs), ranks, narrow), "words")
     top, rest = frequent(table, head)
     known = top.select("word", "ids", "n").toArrow()  # at most `head` words
     # frequent words get small numbers, which take little room when they travel
     order = np.lexsort((known.column("word").to_numpy(), -known.column("n").to_numpy())) if len(known) else np.zeros(0, np.int64)
     words = known.column("word").take(pa.array(order)).to_pylist()
-    flat = known.column("ids").combine_chunks().take(pa.array(order))
+    bodies = known.column("ids").take(pa.array(order)).to_pylist()
     # number 0 is a gap, without ids of its own
-    starts = np.concatenate([[0], flat.offsets.to_numpy()]).astype(np.int64)
+    starts = np.cumsum([0, 0, *(len(b) // narrow().itemsize for b in bodies)])
     numbers = spark.sparkContext.broadcast({w: k for k, w in enumerate(words, 1)})
-    pieces = spark.sparkContext.broadcast((starts, flat.values.to_numpy().astype(narrow)))
-    del known, words, flat
+    pieces = spark.sparkContext.broadcast((starts, np.frombuffer(b"".join(bodies), narrow)))
+    del known, words, bodies
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, get = regex.compile(PATTERN).findall, numbers.value.get
@@ -189,12 +189,12 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> D
                 code, missing = unpack_numbers(unpack(body))
                 size = begin[np.minimum(code + 1, len(begin) - 1)] - begin[code]
                 gaps = np.flatnonzero(code == 0)
-                given: list[list[int]] = []
+                given: list[np.ndarray] = []
                 if len(gaps):
                     by = dict(zip(batch.column(3)[k].as_py() or (), batch.column(4)[k].as_py() or ()))
                     if len(by) != len(missing):
                         raise RuntimeError("a word isn't in the table of distinct words")
-                    given = [by[j] for j in range(len(gaps))]
+                    given = [np.frombuffer(by[j], narrow) for j in range(len(gaps))]
                     size[gaps] = [len(g) for g in given]
                 ends = np.cumsum(size)
                 take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[code] - (ends - size), size)
