@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import blocks, document_sums, word_hashes
+from .textvec import blocks, document_sums, release, word_hashes
 
 BITS = 18
 GRAMS = (3, 5)
@@ -170,6 +170,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Qua
         ids = table.column("doc_id").to_numpy()
         order = np.argsort(((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0x5555), kind="stable")
         model = train(table.column("text").combine_chunks().take(pa.array(order)), table.column("quality").to_numpy()[order])
+        release()
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     # the bounded sample is one group, fitted in a task, so that only the weights come to the driver
