@@ -9,6 +9,7 @@ _SPACE = r"[\s\x1c-\x1f]"
 _FENCE = r"(?sU)```(\s*)(\S*)?\n(.*?)```"
 _OUTPUT = r"(?s)```output\n(.*?)```"
 _PROGRAM = r"(?s)^(.*)(\n```python\n.*\n```\n)(\n```output\n.*\n```\n)(.*)"
+_MARK = "\x00\x1epart\x1e\x00"  # stands in no text
 _STEP = r"(?s)```python\n(.*?)```[\n]*```output\n(.*?)```"
 _THINK = r"(?s)<think>(.*?)</think>"
 _LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -45,10 +46,13 @@ def count_steps(text: Column) -> Column:
 
 
 def program_parts(text: Column) -> Column:
-    """Struct (comprehension, code, output, summary) of a program-of-thought answer, each stripped; null if the text isn't one."""
+    """Struct (comprehension, code, output, summary) of a program-of-thought answer, each stripped; null if the text isn't one.
+
+    One pass of the pattern sets marks between the parts, for it is greedy and costs much on long texts.
+    """
     names = ("comprehension", "code", "output", "summary")
-    part = lambda k: strip(F.regexp_extract(text, _PROGRAM, k + 1))
-    return F.when(text.rlike(_PROGRAM), F.struct(*[part(k).alias(n) for k, n in enumerate(names)]))
+    parts = F.split(F.regexp_replace(text, _PROGRAM, "$1" + _MARK + "$2" + _MARK + "$3" + _MARK + "$4"), _MARK, -1)
+    return F.when(F.size(parts) == len(names), F.struct(*[strip(F.get(parts, F.lit(k))).alias(n) for k, n in enumerate(names)]))
 
 
 def program_output(text: Column) -> Column:

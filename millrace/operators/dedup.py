@@ -121,7 +121,8 @@ def jaccard_similarity(source: DataFrame, reference: DataFrame | None = None, th
 def jaccard_pairs(source: DataFrame, reference: DataFrame | None = None, threshold: float = 0.8, key: str = "id", text: str = "text") -> DataFrame:
     """(a, b, similarity) above ``threshold``, exactly: words are ordered from rare to frequent, and two sets that similar share one of their first few, so only those are joined."""
     own = reference is None
-    sets = lambda df: df.select(F.col(key).alias("i"), tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
+    # words as 64-bit hashes: sets of numbers compare several times as fast as sets of strings
+    sets = lambda df: df.select(F.col(key).alias("i"), F.array_distinct(F.transform(tokens(F.col(text)), lambda w: F.xxhash64(w))).alias("w")).where(F.size("w") > 0)
     x = sets(source)
     y = x if own else sets(reference)
     frequency = x.select(F.explode("w").alias("word")) if own else x.select(F.explode("w").alias("word")).union(y.select(F.explode("w")))

@@ -46,10 +46,12 @@ def drop_last_human_message(df: DataFrame) -> Result:
 def _rewrite(df: DataFrame, shape: Callable[[Column], Column]) -> Result:
     m = F.col("messages")
     answer = F.when(M.role(M.last(m)) == "assistant", M.last(m)["content"])
-    parts = T.program_parts(answer)
+    df = df.withColumn("_parts", T.program_parts(answer))
+    parts = F.col("_parts")
     empty = (parts["comprehension"] == "") | (parts["code"] == "") | (parts["output"] == "") | (parts["summary"] == "")
     reason = F.when(answer.isNull(), "the last message isn't the assistant's").when(parts.isNull(), "not a program-of-thought answer").when(empty, "a part is empty")
-    return _divide(df, reason, M.replace_last(m, shape(parts)))
+    done, rejected = _divide(df, reason, M.replace_last(m, shape(parts)))
+    return done.drop("_parts"), rejected.drop("_parts")
 
 
 @transform("rewrite_pot_remove_output")
