@@ -25,7 +25,6 @@ BITS = 17
 SAMPLE = 400
 PENALTY = 3.0
 SYMBOLS = 40
-LEAST_SHARE = 0.02
 _FACTORS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 
 
@@ -114,7 +113,8 @@ def mixture(log_p: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Shares of a document's words by language (0 for those not chosen), from words' log-likelihoods.
 
     Languages join one at a time, the most promising first, as long as the likelihood grows by more
-    than ``penalty`` times the log of the number of words.
+    than ``penalty`` times the log of the number of words; where one's growth is too small, the others
+    are tried in turn.
     """
     n, kinds = log_p.shape
     out = np.zeros(kinds)
@@ -131,15 +131,15 @@ def mixture(log_p: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
         inverse = 1 / np.maximum(p[:, chosen] @ pi, 1e-300)
         gain = inverse @ p / n - 1
         gain[chosen] = -1
-        k = int(gain.argmax())
-        if gain[k] <= 0:
+        for k in [k for k in np.argsort(-gain, kind="stable").tolist() if gain[k] > 0]:
+            more = [*chosen, k]
+            q = shares(np.maximum(p[:, more], 1e-300))
+            now = float(np.log(np.maximum(p[:, more] @ q, 1e-300)).sum())
+            if now - best > cost:
+                chosen, pi, best = more, q, now
+                break
+        else:
             break
-        more = [*chosen, k]
-        q = shares(np.maximum(p[:, more], 1e-300))
-        now = float(np.log(np.maximum(p[:, more] @ q, 1e-300)).sum())
-        if now - best <= cost or q[-1] < LEAST_SHARE:
-            break
-        chosen, pi, best = more, q, now
     out[chosen] = pi / pi.sum()
     return out
 
@@ -167,8 +167,8 @@ def identified(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY)
         found, words = identify(texts, shared.value, penalty)
         names = (*shared.value.names, "und")
         lang, several, share = [], [], []
-        for row, n in zip(np.round(found, 4), words):
-            order = [k for k in np.argsort(-row, kind="stable") if row[k] > 0]
+        for exact, row, n in zip(found, np.round(found, 4), words):
+            order = [k for k in np.argsort(-row, kind="stable") if exact[k] > 0]
             known = [k for k in order if k < len(names) - 1]
             und = row[-1] > 0.5 or not known
             lang.append("und" if und else names[known[0]])

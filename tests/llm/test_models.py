@@ -279,3 +279,22 @@ def test_stages_take_anything(spark, tmp_path):
             assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
         assert bool(docs.count()) == bool(part)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "near-dedup", "packing"] and near_dedup.BANDS and packing.CAPACITY
+
+
+def test_small_shares_of_long_texts(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang in ('en', 'es')").select("lang", "text").limit(3000).collect()
+    words = {t: [w for d in docs if d.lang == t for w in d.text.split()] for t in ("en", "es")}
+    long = " ".join(words["en"][:10_000] + words["es"][:350] + words["en"][10_000:19_650])
+    assert len(long.split()) == 20_000
+    found, _ = language.identify(pa.array([long]), model)
+    share = dict(zip(model.names, found[0]))
+    assert share["es"] == pytest.approx(0.0175, abs=0.005) and share["en"] > 0.9
+
+
+def test_languages_after_one_that_fails():
+    log_p = np.full((2000, 3), -40.0)
+    log_p[:, 0] = -10
+    log_p[0] = -40, -10, -40  # most gain at share 0, but less than the cost
+    log_p[1:101] = -16, -40, -10
+    got = language.mixture(log_p)
+    assert got[1] == 0 and got[2] == pytest.approx(0.05, abs=0.01)
