@@ -101,7 +101,7 @@ def train(texts: pa.Array, good: np.ndarray, bits: int = BITS, epochs: int = 12,
                 value, count = np.unique(all_[bounds[d] : bounds[d + 1]], return_counts=True)
                 totals[at + d, k] = count.sum()
                 index.append((value + (k << bits)).astype(np.int32))
-                many.append(np.minimum(count, 65535).astype(np.uint16))
+                many.append(count.astype(np.uint32))
             ends.append(ends[-1] + sum(map(len, index[-kinds:])))
             of.append((len(held), d))
         held.append((np.concatenate(index), np.concatenate(many), np.array(ends)))
@@ -110,7 +110,7 @@ def train(texts: pa.Array, good: np.ndarray, bits: int = BITS, epochs: int = 12,
         block, k = of[d]
         index, many, ends = held[block]
         own = slice(ends[k], ends[k + 1])
-        return index[own], many[own] / (totals[d] + SMOOTH)[index[own] >> bits]
+        return index[own], many[own].astype(np.float32) / (totals[d] + SMOOTH)[index[own] >> bits]
 
     part = np.arange(len(good)) % 4
     fit, hold = np.flatnonzero(part != 3), np.flatnonzero(part == 3)

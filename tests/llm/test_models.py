@@ -298,3 +298,10 @@ def test_languages_after_one_that_fails():
     log_p[1:101] = -16, -40, -10
     got = language.mixture(log_p)
     assert got[1] == 0 and got[2] == pytest.approx(0.05, abs=0.01)
+
+
+def test_long_repetitive_rows_train_unclipped():
+    good = np.array([1, 0] * 16)
+    fit = lambda times: quality.train(pa.array([f"plain words of a good text number {k} here" if g else f"x{k} " + "zq " * times for k, g in enumerate(good)]), good, bits=12, epochs=3)
+    # shares of n-grams hardly change with length, so neither does the model
+    assert fit(100_000).bias == pytest.approx(fit(20_000).bias, abs=1e-4)
