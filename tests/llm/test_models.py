@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -119,6 +120,56 @@ def test_bpe_cases(spark, encoding, head):
     assert bpe.encode(df.limit(0)).count() == 0
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The textbook loop: the neighbours of least rank become one, until none has a rank."""
+    parts = [bytes([b]) for b in word]
+    while True:
+        pairs = [(ranks[parts[k] + parts[k + 1]], k) for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in ranks]
+        if not pairs:
+            return [ranks[p] for p in parts]
+        _, k = min(pairs)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_bpe_against_the_merge_loop(spark, sf):
+    ranks = bpe.read_ranks()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    split = regex.compile(bpe.PATTERN).findall
+    known = {}
+    for r in bpe.op8(spark, sf).collect():
+        want = []
+        for w in split(texts[r.doc_id]):
+            if w not in known:
+                known[w] = merged(w.encode(), ranks)
+            want += known[w]
+        assert r.ids == want
+
+
+def test_token_count_and_words(spark):
+    texts = ["", None, "it's 'll 12³½ x", "日本語 emoji 🙂 é́ a\u0085b\u2028c\x1cd", "\n\n \t x\r\n  y ", "'S 's't''ve 're", "𝒜𝓁𝓅𝒽𝒶 x 𝟙𝟚", " " * 50 + "a"]
+    whole = regex.compile(bpe.PATTERN).findall
+    assert all(bpe.splitter()(t) == whole(t) for t in texts if t is not None)
+    rng = np.random.default_rng(3)
+    for _ in range(2000):
+        t = "".join(chr(k) for k in rng.choice([*range(9, 14), 32, 32, 39, 39, *range(95, 123), 0x1C, 0x85, 0xA0, 0xB2, 0xBD, 0x301, 0x2019, 0x3000, 0x4E00, 0xAC00, 0xFFFF], 12))
+        assert bpe.splitter()(t) == whole(t)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    counts = {r.doc_id: r.n for r in df.select("doc_id", bpe.token_count(spark)(F.col("text")).alias("n")).collect()}
+    assert counts == {r.doc_id: None if r.ids is None else len(r.ids) for r in bpe.encode(df).collect()}
+
+
+def test_decode_keeps_columns(spark):
+    rows = [(k, [64 + k % 40, 65] * (k % 7) if k % 5 else None, {"a": str(k)}, "old") for k in range(30_000)]
+    df = spark.createDataFrame(rows, "id long, ids array<int>, extra map<string,string>, text string").coalesce(3)
+    got = bpe.decode(df)
+    assert got.columns == ["id", "ids", "extra", "text"] and got.count() == len(rows)
+    piece = {v: k for k, v in bpe.read_ranks().items()}
+    for r in got.collect():
+        _, ids, extra, _ = rows[r.id]
+        assert r.ids == ids and r.extra == extra and r.text == (None if ids is None else b"".join(piece[i] for i in ids).decode("utf-8", "replace"))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString() and bpe.decode(df.limit(0)).count() == 0
+
+
 def test_unknown_ids(spark):
     df = spark.createDataFrame([(1, [64, None, -5, 99_999_999, 65]), (2, []), (3, None)], "doc_id long, ids array<int>")
     ranks = {v: k for k, v in bpe.read_ranks().items()}
