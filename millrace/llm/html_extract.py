@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,6 +30,12 @@ _BLOCK = frozenset("address article aside blockquote body br caption center dd d
 _CLOSES = {"li": ("li", frozenset(("ul", "ol"))), "dd": ("dd", frozenset(("dl",))), "dt": ("dt", frozenset(("dl",))), "td": ("td", frozenset(("tr", "table"))), "th": ("th", frozenset(("tr", "table"))), "tr": ("tr", frozenset(("table",))), "option": ("option", frozenset(("select",)))}
 _ENDS_P = _BLOCK - {"br", "body", "html", "head"}
 _SCOPE = frozenset("article aside body div footer header html li main nav section table td th".split())
+#: For an opening tag: lists of open elements that it adds to, with itself (True) or with a bar that hides those before it.
+_WATCH: dict[str, list[tuple[str, bool]]] = {}
+for _same, _scope in (("p", _SCOPE), *_CLOSES.values()):
+    _WATCH.setdefault(_same, []).append((_same, True))
+    for _tag in _scope - {_same}:
+        _WATCH.setdefault(_tag, []).append((_same, False))
 
 TAGS = {t: k for k, t in enumerate("#root #text html head body title article main section div span p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th a b i em strong u small code pre blockquote figure figcaption img br hr nav header footer aside form input button label select option script style noscript iframe".split())}
 _OTHER = len(TAGS)
@@ -59,11 +66,16 @@ def _text_features(text: str, parent_tag: int, in_link: bool) -> tuple[int, ...]
 
 
 def parse(page: str) -> Tree:
-    """A tree of any input: tags that don't match are closed or passed over, and raw elements are skipped with what is in them."""
+    """A tree of any input: tags that don't match are closed or passed over, and raw elements are skipped with what is in them.
+
+    Time is linear in the page: what a tag may close is looked up, not searched for among the open elements.
+    """
     parent, depth, features, labels = [-1], [0], [(TAGS["#root"],)], [0]
     tags = ["#root"]
     texts: list[tuple[int, int, str]] = []
     stack = [0]
+    opened: dict[str, int] = {}
+    watched: dict[str, list[int]] = {name: [] for name in ("p", *_CLOSES)}
     block, at, end, links = 0, 0, len(page), 0
 
     def add_text(raw: str) -> None:
@@ -82,9 +94,17 @@ def parse(page: str) -> Tree:
     def pop_to(k: int) -> None:
         nonlocal links
         for x in stack[k:]:
-            links -= tags[x] == "a"
+            name = tags[x]
+            links -= name == "a"
+            opened[name] -= 1
+            for same, _ in _WATCH.get(name, ()):
+                watched[same].pop()
         del stack[k:]
 
+    def close(same: str) -> None:
+        if watched[same] and watched[same][-1] >= 0:
+            pop_to(watched[same][-1])
+
     while at < end:
         m = _TAG.search(page, at)
         if m is None:
@@ -100,31 +120,19 @@ def parse(page: str) -> Tree:
         if tag in _BLOCK:
             block += 1
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == tag:
-                    pop_to(k)
-                    break
+            if opened.get(tag):
+                k = len(stack) - 1
+                while tags[stack[k]] != tag:
+                    k -= 1
+                pop_to(k)
             continue
         if tag in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                open_ = tags[stack[k]]
-                if open_ == "p":
-                    pop_to(k)
-                    break
-                if open_ in _SCOPE:
-                    break
+            close("p")
         if tag in _CLOSES:
-            same, scope = _CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                open_ = tags[stack[k]]
-                if open_ == same:
-                    pop_to(k)
-                    break
-                if open_ in scope:
-                    break
+            close(tag)
         if tag in _RAW:
-            close = _RAW[tag].search(page, at)
-            at = close.end() if close else end
+            over = _RAW[tag].search(page, at)
+            at = over.end() if over else end
             continue
         if tag in _VOID:
             continue
@@ -135,10 +143,7 @@ def parse(page: str) -> Tree:
             for names in _NAMES.findall(attributes):
                 for name in re.split(r"[\s_-]+", names.lower()):
                     if name:
-                        h = 0
-                        for c in name[:32]:
-                            h = (h * 131 + ord(c)) & 0xFFFFFFFF
-                        own.append(_OTHER + 1 + (h * 2654435761 & 0xFFFFFFFF) // (1 << 26))
+                        own.append(_OTHER + 1 + (zlib.crc32(name.encode("utf-8", "replace")) * 2654435761 & 0xFFFFFFFF) // (1 << 26))
             if found := _LABEL.search(attributes):
                 label = int(found[1])
         own.append(_OTHER + 1 + _HASHED + _TEXT + TAGS.get(tags[top], _OTHER))
@@ -149,6 +154,9 @@ def parse(page: str) -> Tree:
         tags.append(tag)
         features.append(tuple(own))
         links += tag == "a"
+        opened[tag] = opened.get(tag, 0) + 1
+        for same, itself in _WATCH.get(tag, ()):
+            watched[same].append(len(stack) - 1 if itself else -1)
         if not attributes.endswith("/"):
             continue
         pop_to(len(stack) - 1)
