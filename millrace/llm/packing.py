@@ -3,8 +3,9 @@
 Documents fill bins of a fixed capacity. Each goes where, afterwards, the sum over all gaps of the
 squared number of open bins with that gap is smallest: this keeps the bins' gaps varied, so that what
 comes next tends to find one that it fills. The rule looks at counts by gap only, never at single
-bins. Documents are packed in groups of about GROUP that depend on doc_id alone, so all groups pack at
-once and a group's memory is bounded at any size of corpus.
+bins. Documents are packed in groups of at most about GROUP by a hash of doc_id, so all groups pack at
+once and a group's memory is bounded at any size of corpus. There are a power of two of groups, so that
+a document more changes its own group only, but where their number doubles.
 """
 
 from __future__ import annotations
@@ -14,12 +15,16 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from .bpe import token_count
+from .staging import stage
+
 CAPACITY = 2048
 GROUP = 16384
+_RUN = 256
 
 
 def pack_group(lengths: Sequence[int], capacity: int) -> np.ndarray:
@@ -67,19 +72,30 @@ def pack(docs: DataFrame, length: Callable[[Column], Column] = words, capacity:
 
     A document longer than ``capacity`` is cut into full pieces, each a bin of its own, and a rest
     that is packed like any other; whole texts are placed. ``length`` gives a document's length from
-    its text. Documents come in order of doc_id.
+    its text, such as its tokens and a mark, see :func:`tokens`. Documents come in order of doc_id.
 
     Nulls: a null doc_id goes like any other value, before all others; a null or empty text has the
     length of no words. Ties and repeated rows are packed one by one, those of one doc_id in order of
-    length. No rows give no rows. Columns other than doc_id and text aren't read.
+    length. Rows of one doc_id and one length are counted before they are sent, and spread over groups in
+    runs of 256, so that neither an id of very many rows nor rows without id fill one group. No rows
+    give no rows. Columns other than doc_id and text aren't read.
     """
-    size = F.coalesce(length(F.col("text").cast("string")), length(F.lit("")))
+    size = length(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(size.cast("long"), F.lit(1)).alias("size"))
-    groups = max(1, -(-docs.count() // group))
-    rows = rows.withColumn("bin_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    # written, so that the caller's plan runs once for the count and for the bins
+    rows = stage(rows.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = 1
+    while groups * group < total:
+        groups *= 2
+    # the first run of an id goes by the id alone
+    rows = rows.select("doc_id", "size", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / _RUN).cast("long"))).alias("run"))
+    spread = F.when((F.col("run") == 0) & F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("doc_id", "size", "run"))
+    rows = rows.select(F.pmod(spread, F.lit(groups)).alias("bin_group"), "doc_id", "size", F.least(F.lit(_RUN), F.col("n") - F.col("run") * _RUN).alias("n"))
 
     def place(table: pa.Table) -> pa.Table:
-        ids, sizes = table.column("doc_id"), table.column("size").to_numpy()
+        each = np.repeat(np.arange(len(table)), table.column("n").to_numpy())
+        ids, sizes = table.column("doc_id").combine_chunks().take(pa.array(each)), table.column("size").to_numpy()[each]
         keys = ids.fill_null(-(1 << 63)).to_numpy()
         order = np.lexsort((sizes, keys))
         sizes, ids = sizes[order], ids.take(pa.array(order))
@@ -99,9 +115,15 @@ def pack(docs: DataFrame, length: Callable[[Column], Column] = words, capacity:
     return rows.groupBy("bin_group").applyInArrow(place, "bin_group long, bin_id long, doc_id long, piece long, start long, length long, gap long")
 
 
+def tokens(spark: SparkSession) -> Callable[[Column], Column]:
+    """A length for :func:`pack`: the ids that ``bpe.encode`` gives, and one for the mark between documents."""
+    count = token_count(spark)
+    return lambda text: count(text) + 1
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
-    """Bins for all documents."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Bins of token ids for all documents."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokens(spark))
 
 
 QUERIES: dict[str, Callable] = {"op7_packing": op7}

@@ -2,14 +2,15 @@
 
 import html
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import bpe, packing, sharding, url_filter, warc
 from millrace.llm import html_extract as H
-from millrace.llm import packing, sharding, url_filter, warc
 from millrace.llm.html_training import labelled_pages
 
 
@@ -64,6 +65,23 @@ def test_pages_table(spark, sf):
         assert "track(" not in r.text
 
 
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</x>" * 100_000, "<p><body>" + "<b>" * 30_000 + "<h1>" * 30_000, "<ul><li>" * 30_000 + "<td>" * 30_000])
+def test_parsing_is_linear(page):
+    began = time.perf_counter()
+    assert len(H.parse(page).parent) > 30_000
+    assert time.perf_counter() - began < 20
+
+
+def test_what_closes_what():
+    tags = lambda page: [(t, H.parse(page).depth[n]) for n, _, t in H.parse(page).texts]
+    assert tags("<p>a<b>b<p>c") == [("a", 2), ("b", 3), ("c", 2)]
+    assert tags("<ul><li>a<ul><li>b</ul>c<li>d</ul>e") == [("a", 3), ("b", 5), ("c", 3), ("d", 3), ("e", 1)]
+    assert tags("<table><tr><td>a<table><tr><td>b</table><td>c<tr><td>d") == [("a", 4), ("b", 7), ("c", 4), ("d", 4)]
+    assert tags("<p>a<table><td><p>b</td></table>c") == [("a", 2), ("b", 4), ("c", 1)]
+    long = "x" * 32
+    assert H.parse(f"<i class={long}a>t").features[1] != H.parse(f"<i class={long}b>t").features[1]
+
+
 def test_odd_pages(spark, model):
     deep = "<div>" * 3000 + "deep text, here." + "</div>" * 10
     odd = [None, "", "<", "<p", "a<b", "</p></div>x", "<!-- never ends", "<script>var x='<p>';", "<p>" + "Long text, really. " * 50_000, deep, "<a href='x>y'>q</a>", "&amp;&#x41;&bogus;", "<DIV CLASS=AD>Z</DIV>"]
@@ -201,7 +219,7 @@ def test_packing_against_brute_force(seed):
 
 def test_packing(spark, sf):
     rows = packing.op7(spark, sf).collect()
-    docs = {r.doc_id: len(r.text.split()) + 1 for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    docs = {r.doc_id: r.n_ids + 1 for r in bpe.op8(spark, sf).collect()}
     placed, bins = Counter(), Counter()
     for r in rows:
         placed[r.doc_id] += r.length
@@ -214,3 +232,14 @@ def test_packing(spark, sf):
     got = packing.pack(odd, capacity=10, group=3).collect()
     assert sum(r.length for r in got) == 3 + 3 + 2 + 1 + 1 + 1 + 51 and max(Counter((r.bin_group, r.bin_id) for r in got).values()) <= 10
     assert packing.pack(odd.limit(0)).count() == 0
+
+
+def test_packing_hot_keys(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    got = packing.pack(rows, capacity=10, group=256).collect()
+    assert len(got) == 3000 and Counter(r.doc_id for r in got)[7] == 1000
+    sizes = Counter(r.bin_group for r in got)
+    assert len(sizes) == 16 and max(sizes.values()) < 4 * 256
+    # a document more changes one group, as long as the number of groups stays
+    more = {tuple(r) for r in packing.pack(rows.union(spark.createDataFrame([(99_999, "c")], rows.schema)), capacity=10, group=256).collect()}
+    assert len({g for g, *_ in more ^ {tuple(r) for r in got}}) == 1
