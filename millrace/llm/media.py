@@ -32,8 +32,8 @@ def chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
 def parse_avi(data: bytes) -> tuple[list[tuple[int, int]], float, str]:
     """Frames as (start, end) in the file, microseconds a frame, and where the frames were found: ``indx``, ``idx1`` or ``scan``.
 
-    The OpenDML index is used if there is one, else the old index, whose places count from the movi list
-    or from the start of the file; an index that doesn't lead to frames is passed over, and the movi
+    The OpenDML index is used if there is one, else the old index of a file with a single movi list, whose
+    places count from the list or from the start of the file; an index that doesn't lead to frames is passed over, and the movi
     lists are scanned.
     """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
@@ -85,7 +85,7 @@ def parse_avi(data: bytes) -> tuple[list[tuple[int, int]], float, str]:
                 frames.append((base + off, base + off + size))
     if frames and good(*frames[0]):
         return [(a, min(b, len(data))) for a, b in frames if a < len(data)], micros, "indx"
-    if old and movi:
+    if old and len(movi) == 1:  # it covers the first list only
         entries = [struct.unpack_from("<4sIII", data, at) for at in range(old[0], old[1] - 15, 16)]
         entries = [(off, size) for name, _, off, size in entries if name in names]
         for base in (movi[0][0], 0):
@@ -101,11 +101,49 @@ def parse_avi(data: bytes) -> tuple[list[tuple[int, int]], float, str]:
     return frames, micros, "scan"
 
 
-def histogram(pixels: np.ndarray) -> np.ndarray:
-    """Shares of pixels by luma in 32 classes, smoothed so that a slight drift over a bound counts little, and by each chroma in 8."""
-    n = pixels.shape[0] * pixels.shape[1]
-    luma = np.convolve(np.pad(np.bincount(pixels[:, :, 0].ravel() >> 3, minlength=32), 2, "reflect"), [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9], "valid")
-    return np.concatenate([luma, np.bincount(pixels[:, :, 1].ravel() >> 5, minlength=8), np.bincount(pixels[:, :, 2].ravel() >> 5, minlength=8)]) / n
+def histogram(counts: np.ndarray) -> np.ndarray:
+    """Shares of pixels by luma in 32 classes, smoothed so that a slight drift over a bound counts little, and by each chroma in 8, from counts of 256 values of each."""
+    n = counts[0].sum()
+    luma = np.convolve(np.pad(counts[0].reshape(32, 8).sum(1), 2, "reflect"), [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9], "valid")
+    return np.concatenate([luma, *counts[1:].reshape(2, 8, 32).sum(2)]) / n
+
+
+def value_counts(frames: Sequence[bytes]) -> np.ndarray:
+    """For each of the frames, which share a header: (frames, 3, 256), pixels by value of luma and chroma."""
+    counts = np.zeros((len(frames), 3, 256), np.int64)
+    for at, pixels in jpeg.bands(frames):
+        n = len(pixels)
+        for k in range(3):
+            index = np.arange(n)[:, None] * 256 + pixels[:, :, :, k].reshape(n, -1)
+            counts[at : at + n, k] += np.bincount(index.ravel(), minlength=256 * n).reshape(n, 256)
+    return counts
+
+
+def frame_counts(frames: Sequence[bytes]) -> list[np.ndarray | None]:
+    """As :func:`value_counts` for any frames; frames in a row that share a header are decoded at once. None for a frame that is damaged."""
+    out: list[np.ndarray | None] = []
+    at = 0
+    while at < len(frames):
+        to = at + 1
+        try:
+            head = jpeg.header(frames[at])
+            while to < len(frames) and to - at < 256 and frames[to].startswith(head):
+                to += 1
+            out += list(value_counts(frames[at:to]))
+        except _DAMAGE:
+            if to - at == 1:
+                out.append(None)
+            for f in frames[at:to] if to - at > 1 else ():
+                try:
+                    out.append(value_counts([f])[0])
+                except _DAMAGE:
+                    out.append(None)
+        at = to
+    return out
+
+
+#: Whatever bytes do to a decoder that reads them as a frame.
+_DAMAGE = (ValueError, IndexError, KeyError, OverflowError, ZeroDivisionError, struct.error)
 
 
 def shot_starts(histograms: Sequence[np.ndarray | None], window: int = WINDOW, factor: float = FACTOR, least: float = LEAST) -> list[int]:
@@ -144,17 +182,14 @@ def clips(data: bytes | None) -> list[tuple]:
         places, micros, how = parse_avi(data)
         if not places:
             raise AviError("no frames")
-    except (AviError, struct.error) as e:
+    except (AviError, struct.error, OverflowError) as e:
         return [(None, None, None, None, None, None, 0, None, str(e))]
-    seen, luma = [], []
-    for a, b in places:
-        try:
-            pixels = jpeg.decode(data[a:b])
-            seen.append(histogram(pixels))
-            luma.append(float(pixels[:, :, 0].mean()))
-        except (jpeg.JpegError, IndexError, struct.error) as e:  # a damaged frame keeps its time
-            seen.append(None)
-            luma.append(np.nan)
+    seen: list[np.ndarray | None] = []
+    luma: list[float] = []
+    for at in range(0, len(places), 1024):
+        for counts in frame_counts([data[a:b] for a, b in places[at : at + 1024]]):  # a damaged frame keeps its time
+            seen.append(None if counts is None else histogram(counts))
+            luma.append(np.nan if counts is None else float(counts[0] @ np.arange(256) / counts[0].sum()))
     if all(h is None for h in seen):
         return [(None, None, None, None, None, None, len(seen), how, "no frame can be decoded")]
     starts = shot_starts(seen)
@@ -219,16 +254,22 @@ def write_avi(frames: Sequence[bytes], micros: int = 100_000, size: tuple[int, i
 
 
 def embedding_frames(vector: Sequence[float], number: int) -> tuple[list[bytes], list[int]]:
-    """Frames of a clip made from an embedding, and where its shots begin: each shot shows the vector's values as 8 x 8 patches, brighter or darker, and drifts slowly."""
+    """Frames of a clip made from an embedding, and where its shots begin: each shot shows the vector's values as 8 x 8 patches, brighter or darker, and drifts slowly. Most are grey and tiny; each eighth is in colour, and each 64th of 320 x 240 pixels."""
     pattern = np.resize(np.asarray(vector, np.float64), 64).reshape(8, 8)
-    pattern = np.kron(pattern / max(np.abs(pattern).max(), 1e-9), np.ones((2, 2)))
-    frames, starts = [], []
+    large = number % 64 == 0
+    pattern = np.kron(pattern / max(np.abs(pattern).max(), 1e-9), np.ones((30, 40) if large else (2, 2)))
+    planes, starts = [], []
     for shot in range(1 + number % 4):
-        starts.append(len(frames))
+        starts.append(len(planes))
         level = (60, 170, 110, 220)[(shot + number // 4) % 4]
         for k in range(3 + (number // 16 + shot) % 3):
-            frames.append(jpeg.encode(np.clip(level + 12 * np.roll(pattern, k, 1) * (1 if shot % 2 else -1), 0, 255), tables=number % 5 != 0))
-    return frames, starts
+            planes.append(np.clip(level + 12 * np.roll(pattern, k, 1) * (1 if shot % 2 else -1), 0, 255))
+    luma = np.stack(planes)[:, :, :, None]
+    if number % 8:
+        return jpeg.encode_all(luma, tables=number % 5 != 0), starts
+    # colour, a chroma sample for 2 x 2 pixels, some with restart markers
+    tint = np.full_like(luma, 128)
+    return jpeg.encode_all(np.concatenate([luma, tint + number % 32, tint - number % 16], 3), tables=number % 5 != 0, across=2, down=2, restart=3 if number % 16 else 0), starts
 
 
 def embedding_media(embeddings: DataFrame) -> DataFrame:

@@ -48,6 +48,70 @@ def colour_frame(planes, restart=0):
     return head + part(0xDA, b"\x03\x01\x00\x02\x00\x03\x00\x00\x3f\x00") + out + flush(bits) + b"\xff\xd9"
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (17, 33), (64, 48), (130, 120)])
+def test_colour_round_trip(shape):
+    rng = np.random.default_rng(1)
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    frames = np.stack([np.stack([128 + 60 * np.sin(x / 9 + k), 120 + x / 4 - y / 5, 140 + 30 * np.cos(y / 11)], 2) for k in range(3)]) + rng.normal(0, 2, (3, *shape, 3))
+    frames = frames.clip(0, 255)
+    for across, down, restart in ((1, 1, 0), (2, 2, 0), (2, 1, 3), (4, 2, 1)):
+        made = jpeg.encode_all(frames, 1, across=across, down=down, restart=restart)
+        got = np.concatenate([p for _, p in jpeg.bands(made)])
+        assert got.shape == frames.shape and np.abs(got[:, :, :, 0] - frames[:, :, :, 0]).max() < 3
+        assert np.abs(got[:, :, :, 1:].astype(float) - frames[:, :, :, 1:]).mean() < 6
+        assert (np.stack([jpeg.decode(f) for f in made]) == got).all()
+
+
+def test_odd_sampling_and_separate_scans():
+    """Factors that don't divide each other, and components in scans of their own."""
+    dc, ac = ({s: (c, n) for c, n, s in jpeg._codes(jpeg.STANDARD[k])} for k in (0, 0x10))
+
+    def scan(values):
+        bits, last = "", {}
+        for part, v in values:
+            d = v - last.get(part, 0)
+            last[part] = v
+            n = abs(d).bit_length()
+            c, m = dc[n]
+            bits += format(c, f"0{m}b") + (format(d if d > 0 else d + (1 << n) - 1, f"0{n}b") if n else "")
+            c, m = ac[0]
+            bits += format(c, f"0{m}b")
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+    part = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2) + b
+    head = lambda f, w: b"\xff\xd8" + part(0xDB, b"\0" + bytes([8]) * 64) + part(0xC0, b"\x08\0\x08" + w.to_bytes(2) + b"\x03" + bytes(f))
+    odd = head([1, 0x31, 0, 2, 0x21, 0, 3, 0x11, 0], 24) + part(0xDA, b"\x03\x01\x00\x02\x00\x03\x00\x00\x3f\x00") + scan([(0, 1), (0, 2), (0, 3), (1, 40), (1, 50), (2, -60)]) + b"\xff\xd9"
+    got = jpeg.decode(odd)
+    assert got.shape == (8, 24, 3) and got[0, :, 0].tolist() == [129] * 8 + [130] * 8 + [131] * 8
+    assert got[0, :, 1].tolist() == [168] * 12 + [178] * 12 and (got[:, :, 2] == 68).all()
+    single = head([1, 0x21, 0, 2, 0x11, 0, 3, 0x11, 0], 20)
+    for k, values in enumerate(([(0, 1), (0, 2), (0, 3)], [(0, 40), (0, 50)], [(0, -60), (0, -70)])):
+        single += part(0xDA, bytes([1, k + 1, 0, 0, 63, 0])) + scan(values)
+    got = jpeg.decode(single + b"\xff\xd9")
+    assert got.shape == (8, 20, 3) and got[0, :, 0].tolist() == [129] * 8 + [130] * 8 + [131] * 4
+    assert got[0, :, 1].tolist() == [168] * 16 + [178] * 4 and got[0, :, 2].tolist() == [68] * 16 + [58] * 4
+
+
+def test_large_frames_and_hostile_ones():
+    y = np.add.outer(np.linspace(20, 220, 2000), np.linspace(0, 30, 1500))
+    big = jpeg.encode(y, 16)
+    parts = [p.shape for _, p in jpeg.bands([big, big])]
+    assert len(parts) > 2 and np.abs(jpeg.decode(big)[:, :, 0] - y).max() < 20
+    assert media.value_counts([big, big])[:, 0].sum(1).tolist() == [3_000_000] * 2
+    huge = big.replace(b"\xff\xc0\x00\x0b\x08" + (2000).to_bytes(2) + (1500).to_bytes(2), b"\xff\xc0\x00\x0b\x08\xff\xff\xff\xff")
+    assert media.frame_counts([huge]) == [None]
+    rng = np.random.default_rng(5)
+    small = jpeg.encode_all(np.full((1, 16, 16, 3), 77.0), across=2, down=2)[0]
+    for _ in range(1500):
+        damaged = bytearray(small)
+        for at in rng.integers(2, len(small), 3):
+            damaged[at] = rng.integers(0, 256)
+        media.frame_counts([bytes(damaged[: rng.integers(2, len(small) + 1)]), small])
+    mixed = media.frame_counts([small, small[:-20], small, big, small])
+    assert [x is None for x in mixed] == [False, True, False, False, False] and (mixed[0] == mixed[4]).all()
+
+
 @pytest.mark.parametrize("restart", [0, 1, 2])
 def test_colour_and_restarts(restart):
     planes = [[10, -20, 30, -40, 5, -6], [0, 1, 2, 3, 50, 60], [-9, -9, -9, -9, 0, 0]]
