@@ -15,11 +15,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
     It is read from the session. Only where it is unset, as in tests on one machine, a temporary
-    folder is made and set as the session's checkpoint folder.
+    folder is made and set as the session's checkpoint folder; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     own = "file://" + tempfile.mkdtemp(prefix="millrace-")
     spark.sparkContext.setCheckpointDir(own)
     return own
