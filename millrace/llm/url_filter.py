@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
+
+from .membership import among
 
 _AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)"
 #: How much an entry says of a URL: the kind first, then the length of its pattern.
-_RANK = {"host": 0, "prefix": 1_000_000, "url": 2_000_000}
+_RANK = {"host": 0, "prefix": 1, "url": 2}
+
+
+def _bare(url: Column) -> tuple[Column, Column]:
+    """A URL's host, and all of it without scheme, user, port and fragment, in lower case."""
+    low = F.regexp_replace(F.lower(F.trim(url)), "#.*$", "")
+    host = F.regexp_extract(low, _AUTHORITY, 1)
+    return host, F.concat(host, F.regexp_replace(F.regexp_replace(low, _AUTHORITY, ""), "^:[0-9]*", ""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -18,9 +28,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     ``entries`` has (list_name, kind, pattern, action, event, at): ``event`` is ``add`` or ``remove``.
     A further add of the same list, kind and pattern ends what held before. Of events at one time a
     removal comes last, and of adds ``allow``. Entries without kind, pattern, action or time don't count;
-    repeated entries count once.
+    repeated entries count once. Patterns are read like URLs, without scheme, user, port and fragment; of
+    a host's pattern the host counts, and a prefix without a slash is a whole host's.
     """
-    given = entries.select("list_name", F.lower("kind").alias("kind"), F.lower(F.trim("pattern")).alias("pattern"), F.lower("action").alias("action"), F.lower("event").alias("event"), F.col("at").cast("timestamp").alias("valid_from"))
+    host, rest = _bare(F.col("pattern"))
+    pattern = F.when(F.lower("kind") == "host", host).when((F.lower("kind") == "prefix") & (rest == host) & (host != ""), F.concat(host, F.lit("/"))).otherwise(rest)
+    given = entries.select("list_name", F.lower("kind").alias("kind"), pattern.alias("pattern"), F.lower("action").alias("action"), F.lower("event").alias("event"), F.col("at").cast("timestamp").alias("valid_from"))
     given = given.where("kind in ('host', 'prefix', 'url') and pattern <> '' and action in ('block', 'allow') and event in ('add', 'remove') and valid_from is not null").distinct()
     w = Window.partitionBy("list_name", "kind", "pattern").orderBy("valid_from", "event", F.desc("action"))
     dated = given.withColumn("valid_to", F.lead("valid_from").over(w))
@@ -28,18 +41,20 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def url_keys(url: str):
-    """Column: all (kind, pattern) under which an entry may list the URL: its host and each parent domain, each prefix up to a slash, itself.
+    """Column: all (kind, pattern, tail) under which an entry may list the URL: its host and each parent domain, each prefix up to a slash with what follows it, itself.
 
     Scheme, user, port and fragment don't count, and case doesn't.
     """
-    bare = F.regexp_replace(F.lower(F.trim(F.col(url))), "#.*$", "")
-    host = F.regexp_extract(bare, _AUTHORITY, 1)
-    rest = F.concat(host, F.regexp_replace(F.regexp_replace(bare, _AUTHORITY, ""), "^:[0-9]*", ""))
+    host, rest = _bare(F.col(url))
     labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(F.lit("host").alias("kind"), F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("pattern")))
+    key = lambda kind, pattern, tail=F.lit(""): F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"), tail.alias("tail"))
+    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: key("host", F.array_join(F.slice(labels, k, F.size(labels)), ".")))
     parts = F.split(F.regexp_replace(rest, r"\?.*$", ""), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")).alias("pattern")))
-    return F.array_distinct(F.concat(hosts, F.when(F.size(parts) > 1, prefixes).otherwise(F.slice(prefixes, 1, 0)), F.array(F.struct(F.lit("url").alias("kind"), rest.alias("pattern")))))
+    up_to = lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: key("prefix", up_to(k), F.substr(rest, F.length(up_to(k)) + 1)))
+    # a URL that ends with its host has the root's path
+    root = F.array(key("prefix", F.concat(host, F.lit("/")), F.substr(rest, F.length(host) + 1)))
+    return F.array_distinct(F.concat(hosts, F.when(F.size(parts) > 1, prefixes).otherwise(root), F.array(key("url", rest))))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> DataFrame:
@@ -47,30 +62,38 @@ def filter_urls(captures: DataFrame, entries: DataFrame, key: str = "page_id") -
 
     Of the entries that hold at the fetch the one that says most decides: a whole URL before a prefix
     before a host, then the longer pattern; of equals ``allow``, then the first list by name. Without
-    any, the verdict is ``allow`` and the three columns are null. ``active`` counts entries that hold.
+    any, the verdict is ``allow`` and the three columns are null. ``active`` counts entries that hold. A
+    prefix may end anywhere in a path or a query.
 
     A capture without url is blocked, for nothing can be said of it; one without fetch time is judged
-    by no entry, so it is allowed. Repeated captures give one row. An entry holds from its start on and
-    no longer at its end. No captures give no rows; no entries allow all. Columns other than the three
-    aren't read.
+    by no entry, so it is allowed. Repeated captures give one row; URLs of any length count in whole. An
+    entry holds from its start on and no longer at its end. No captures give no rows; no entries allow
+    all. Columns other than the three aren't read.
 
-    Captures travel once: keys are exploded and joined (broadcast by Spark only if the intervals are
-    small), and the partial aggregate brings them back to one row before the only shuffle of captures.
+    Each key of a capture, without its URL, meets a bitmap of the keys that entries have; what passes is
+    joined to the intervals, by their size broadcast or not, under one of a pattern's last slash. So keys
+    such as a top-level domain travel only if they are listed. URLs travel once, when hits come back to captures.
     """
     held = intervals(entries)
     one = captures.select(F.col(key).alias("_key"), F.col("url"), F.col("fetched").cast("timestamp").alias("fetched"))
     rank = F.create_map(*[F.lit(x) for pair in _RANK.items() for x in pair])
-    held = held.select("list_name", "kind", "pattern", "action", "valid_from", "valid_to", (rank[F.col("kind")] + F.length("pattern")).alias("says"))
-    exploded = one.withColumn("k", F.explode_outer(url_keys("url"))).select("_key", "url", "fetched", F.col("k.kind").alias("k_kind"), F.col("k.pattern").alias("k_pattern"))
-    holds = (F.col("kind") == F.col("k_kind")) & (F.col("pattern") == F.col("k_pattern")) & (F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
-    hit = F.struct((-F.col("says")).alias("says"), "action", "list_name", "kind", "pattern")
+    place = F.when(F.col("kind") == "prefix", F.regexp_extract(F.regexp_replace("pattern", r"\?.*$", ""), "^(.*/)", 1)).otherwise(F.col("pattern"))
+    held = held.select("list_name", "kind", "pattern", "action", "valid_from", "valid_to", rank[F.col("kind")].alias("rank"), place.alias("place"))
+    held = held.withColumn("rest", F.when(F.col("kind") == "prefix", F.substr("pattern", F.length("place") + 1)).otherwise("")).withColumn("hash", F.xxhash64("kind", "place"))
+    keyed = one.select("_key", F.xxhash64("url").alias("_url"), "fetched", F.explode(url_keys("url")).alias("k"))
+    keyed = keyed.select("_key", "_url", F.col("fetched").alias("_at"), F.xxhash64("k.kind", "k.pattern").alias("hash"), F.col("k.kind").alias("k_kind"), F.col("k.pattern").alias("k_pattern"), F.col("k.tail").alias("k_tail"))
+    listed = among(keyed.where("_at is not null"), held.select("hash"), "hash").drop("hash")
+    holds = (F.col("kind") == F.col("k_kind")) & (F.col("place") == F.col("k_pattern")) & F.startswith("k_tail", "rest") & (F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
+    hit = F.struct((-F.col("rank")).alias("rank"), (-F.length("pattern")).alias("length"), "action", "list_name", "kind", "pattern")
     # copies of one capture would count their entries again, so entries are gathered as a set
-    met = exploded.join(held, holds, "left").groupBy("_key", "url", "fetched").agg(F.collect_set(F.when(F.col("says").isNotNull(), hit)).alias("hits"))
+    met = listed.join(held.drop("hash"), holds).groupBy("_key", "_at", "_url").agg(F.collect_set(hit).alias("hits"))
+    whole = one.groupBy("_key", F.col("fetched").alias("_at"), F.xxhash64("url").alias("_url")).agg(F.first("url").alias("url"))
+    met = whole.alias("w").join(met.alias("m"), F.expr("w._key <=> m._key and w._at <=> m._at and w._url = m._url"), "left").select("w.*", "m.hits")
     best = F.array_min("hits")
     return met.select(
-        F.col("_key").alias(key), "url", "fetched",
+        F.col("_key").alias(key), "url", F.col("_at").alias("fetched"),
         F.when(F.col("url").isNull(), "block").otherwise(F.coalesce(best["action"], F.lit("allow"))).alias("verdict"),
-        best["list_name"].alias("list_name"), best["kind"].alias("kind"), best["pattern"].alias("pattern"), F.size("hits").cast("long").alias("active"),
+        best["list_name"].alias("list_name"), best["kind"].alias("kind"), best["pattern"].alias("pattern"), F.when(F.col("hits").isNull(), 0).otherwise(F.size("hits")).cast("long").alias("active"),
     )
 
 
@@ -137,10 +160,10 @@ events as (
     from split, unnest(range(1, len(string_split(regexp_replace(host || path, '\?.*$', ''), '/')))) as u(k)
 ), hits as (
   select k.page_id, k.url, k.fetched, h.list_name, h.kind, h.pattern, h.action,
-    case h.kind when 'host' then 0 when 'prefix' then 1000000 else 2000000 end + length(h.pattern) as says
+    case h.kind when 'host' then 0 when 'prefix' then 1 else 2 end as rank
   from keys k join held h on h.kind = k.kind and h.pattern = k.pattern and h.valid_from <= k.fetched and (h.valid_to is null or k.fetched < h.valid_to)
 ), ranked as (
-  select *, row_number() over (partition by page_id, url, fetched order by says desc, action, list_name) as r, count(*) over (partition by page_id, url, fetched) as active from hits
+  select *, row_number() over (partition by page_id, url, fetched order by rank desc, length(pattern) desc, action, list_name) as r, count(*) over (partition by page_id, url, fetched) as active from hits
 )
 select c.page_id, c.url, c.fetched, case when c.url is null then 'block' else coalesce(r.action, 'allow') end as verdict,
   r.list_name, r.kind, r.pattern, coalesce(r.active, 0) as active

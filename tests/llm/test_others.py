@@ -147,6 +147,11 @@ def test_url_filter(spark):
         entry("host", "same.com", "block", "add", 3), entry("host", "same.com", "block", "remove", 3), entry("host", "bad.com", "block", "add", 5),
     ], "list_name string, kind string, pattern string, action string, event string, at string").withColumn("extra", F.lit(1))
     cases = [("http://bad.com/", 4, "allow"), ("http://bad.com/", 5, "block"), ("http://bad.com/", 10, "allow"), ("https://U:p@BAD.com:80/x#y", 25, "block"), ("http://bad.com/ok/y", 25, "allow"), ("http://bad.com/ok/x?a=1", 25, "block"), ("http://sub.bad.com/q", 25, "allow"), ("http://deep.other.bad.com/q", 25, "block"), ("http://notbad.com/", 25, "allow"), ("http://tie.com/", 2, "allow"), ("http://same.com/", 3, "allow"), (None, 5, "block"), ("", 5, "allow"), ("x" * 5000, 5, "allow")]
+    entries = entries.union(spark.createDataFrame([
+        (*entry("prefix", "http://Pre.com:80/a?x=", "block", "add", 1), 1), (*entry("prefix", "pre.com/en", "block", "add", 1), 1), (*entry("prefix", "whole.com", "block", "add", 1), 1),
+        (*entry("host", "https://u@port.com:8080/q", "block", "add", 1), 1), (*entry("prefix", "long.com/" + "a" * 3000, "block", "add", 1), 1), (*entry("url", "long.com/" + "a" * 3000 + "b", "allow", "add", 1), 1),
+    ], entries.schema))
+    cases += [("http://pre.com/a?x=1", 5, "block"), ("http://pre.com/a?y=1", 5, "allow"), ("http://pre.com/english/x", 5, "block"), ("http://pre.com/e", 5, "allow"), ("http://whole.com", 5, "block"), ("http://whole.com?q", 5, "block"), ("http://whole.company.com/", 5, "allow"), ("http://port.com/", 5, "block"), ("http://long.com/" + "a" * 3001, 5, "block"), ("http://long.com/" + "a" * 3000 + "b", 5, "allow")]
     captures = spark.createDataFrame([(k, u, f"2024-01-{d:02d} 00:00:00") for k, (u, d, _) in enumerate(cases)] * 2 + [(99, "http://bad.com/", None)], "page_id long, url string, fetched string").withColumn("kind", F.lit("x")).withColumn("verdict", F.lit(0))
     got = {r.page_id: r for r in url_filter.filter_urls(captures, entries).collect()}
     assert {k: r.verdict for k, r in got.items()} == {**{k: v for k, (_, _, v) in enumerate(cases)}, 99: "allow"}
