@@ -254,9 +254,9 @@ def write_avi(frames: Sequence[bytes], micros: int = 100_000, size: tuple[int, i
 
 
 def embedding_frames(vector: Sequence[float], number: int) -> tuple[list[bytes], list[int]]:
-    """Frames of a clip made from an embedding, and where its shots begin: each shot shows the vector's values as 8 x 8 patches, brighter or darker, and drifts slowly. Most are grey and tiny; each eighth is in colour, and each 64th of 320 x 240 pixels."""
+    """Frames of a clip made from an embedding, and where its shots begin: each shot shows the vector's values as 8 x 8 patches, brighter or darker, and drifts slowly. Most are grey and tiny; each eighth is in colour, and each 1024th of 320 x 240 pixels."""
     pattern = np.resize(np.asarray(vector, np.float64), 64).reshape(8, 8)
-    large = number % 64 == 0
+    large = number % 1024 == 0
     pattern = np.kron(pattern / max(np.abs(pattern).max(), 1e-9), np.ones((30, 40) if large else (2, 2)))
     planes, starts = [], []
     for shot in range(1 + number % 4):
