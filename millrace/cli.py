@@ -10,15 +10,26 @@ from .functions.plain import parse_kwargs, set_up_log
 from .registry import load_file
 from .tasks import TASKS
 
+#: How a task calls a model.
+_CALLS: tuple[tuple[str, dict], ...] = (
+    ("--num-workers", {"type": int, "help": "calls at a time in each task"}),
+    ("--call-mode", {"choices": ("thread", "coroutine", "serial")}),
+    ("--cache-dir", {"help": "answers by request, for later runs"}),
+    ("--checkpoint-dir", {"help": "answers rank by rank, to resume from"}),
+    ("--checkpoint-interval", {"type": int, "help": "rows of a rank"}),
+    ("--resume-from-checkpoint", {"action": "store_true"}),
+    ("--max-rerun-count", {"type": int, "help": "how often rejected rows are called again; without end if negative"}),
+    ("--max-tokens", {"type": int}),
+)
 _OPTIONS: dict[str, tuple[tuple[str, dict], ...]] = {
     "merge": (("--shuffled", {"action": "store_true"}),),
     "sample": (("--ratio", {"type": float}), ("--num", {"type": int}), ("--parity", {"action": "store_true"})),
     "split": (("--output-dir", {"required": True}), ("--ratios", {"type": float, "nargs": "+", "required": True}), ("--randomly", {"action": "store_true"})),
     "sort": (("--key", {"default": "id"}), ("--reverse", {"action": "store_true"})),
     "filter": (("--filter-function", {"required": True}), ("--partial-kwargs", {"type": parse_kwargs})),
-    "dedup": (("--dedup-function", {"default": "exact_match"}), ("--reference-file", {"nargs": "+"}), ("--threshold", {"type": float}), ("--embedder", {}), ("--batch-size", {"type": int, "default": 12})),
-    "generate": (("--process-function", {"required": True}), ("--model", {}), ("--failure-file", {}), ("--partial-kwargs", {"type": parse_kwargs})),
-    "translate": (("--model", {"required": True}), ("--src-lang-code", {"default": "en"}), ("--tgt-lang-code", {"default": "zh"}), ("--failure-file", {})),
+    "dedup": (("--dedup-function", {"default": "exact_match"}), ("--reference-file", {"nargs": "+"}), ("--threshold", {"type": float}), ("--embedder", {}), ("--batch-size", {"type": int, "default": 12}), ("--cache-dir", {"help": "embeddings by text, for later runs"})),
+    "generate": (("--process-function", {"required": True}), ("--model", {}), ("--failure-file", {}), ("--partial-kwargs", {"type": parse_kwargs}), *_CALLS),
+    "translate": (("--model", {"required": True}), ("--src-lang-code", {"default": "en"}), ("--tgt-lang-code", {"default": "zh"}), ("--failure-file", {}), *_CALLS),
     "analyze": (("--item", {"default": "length"}), ("--bins", {"type": int, "nargs": "+"}), ("--tokenizer", {})),
     "watch": (("--start", {"type": int, "default": 0}), ("--num", {"type": int, "default": 1}), ("--pattern", {}), ("--last-only", {"action": "store_true"})),
     "chat": (("--model", {"required": True}), ("--temperature", {"type": float}), ("--max-tokens", {"type": int})),

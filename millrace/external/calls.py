@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import asyncio
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plain import cache_key
+from ..sources.shared import new_folder, written
 from .backend import Backend, CallError, Retry, chat_once
 
 RESULT = "ok boolean, value string, error_class string, error string"
@@ -20,27 +23,49 @@ RESULT = "ok boolean, value string, error_class string, error string"
 FAILURES: tuple[type[Exception], ...] = (AssertionError, CallError, ValueError, OSError)
 
 
-def call_rows(df: DataFrame, key: str, payload: str, function: Callable[[str], str], workers: int = 8) -> DataFrame:
-    """(key, ok, value, error_class, error): ``function`` of each row's payload, in a pool of threads in each task.
+MODES = ("thread", "coroutine", "serial")
 
-    A failure of a known class becomes a rejected row; any other ends the job. With one worker rows are
-    called one by one.
+
+def call_rows(df: DataFrame, key: str, payload: str, function: Callable[[str], str], workers: int = 8, mode: str = "thread") -> DataFrame:
+    """(key, ok, value, error_class, error): ``function`` of each row's payload, ``workers`` at a time in each task.
+
+    ``mode`` is ``thread`` for a pool of threads, ``coroutine`` for coroutines in one loop (``function`` may be
+    one; a plain function is called in a thread), or ``serial`` for one row after the other, as with one
+    worker. A failure of a known class becomes a rejected row; any other ends the job.
     """
     if workers < 1:
         raise ValueError("at least one worker")
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode}; there are {MODES}")
     kind = df.schema[key].dataType.simpleString()
 
     def one(text: str | None) -> tuple[bool, str | None, str | None, str | None]:
         try:
             return True, function(text), None, None
         except FAILURES as e:
-            return False, None, type(e).__name__, str(e)[:1000]
+            return False, None, type(e).__name__, str(e)
+
+    async def all_of(texts: list) -> list:
+        gate = asyncio.Semaphore(workers)
+
+        async def one_of(text: str | None):
+            async with gate:
+                try:
+                    got = await function(text) if asyncio.iscoroutinefunction(function) else await asyncio.to_thread(function, text)
+                    return True, got, None, None
+                except FAILURES as e:
+                    return False, None, type(e).__name__, str(e)
+
+        return list(await asyncio.gather(*map(one_of, texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(workers) as pool:
             for batch in batches:
                 texts = batch.column(1).to_pylist()
-                rows = list(pool.map(one, texts)) if workers > 1 else [one(t) for t in texts]
+                if mode == "coroutine":
+                    rows = asyncio.run(all_of(texts))
+                else:
+                    rows = list(pool.map(one, texts)) if workers > 1 and mode == "thread" else [one(t) for t in texts]
                 ok, value, name, error = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ok, pa.bool_()), pa.array(value, pa.string()), pa.array(name, pa.string()), pa.array(error, pa.string())], [key, "ok", "value", "error_class", "error"])
 
@@ -83,21 +108,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cached_calls(df: DataFrame, key: str, payload: str, function: Callable[[str], str], cache: Cache, name: str, version: str = "1", workers: int = 8) -> DataFrame:
+def cached_calls(df: DataFrame, key: str, payload: str, function: Callable[[str], str], cache: Cache, name: str, version: str = "1", workers: int = 8, mode: str = "thread") -> DataFrame:
     """As :func:`call_rows`, but what the cache has isn't called, equal payloads are called once, and successes are added."""
     keyed = df.select(key, payload).withColumn("cache_key", cache_key(name, version, F.col(payload)))
     known = cache.read()
     wanted = keyed.join(known, "cache_key", "left_anti").dropDuplicates(["cache_key"])
-    called = call_rows(wanted.select("cache_key", payload), "cache_key", payload, function, workers)
-    stage = f"{cache.path.rstrip('/')}-calls"
-    called.write.mode("overwrite").parquet(stage)  # once: the results are read twice below
-    fresh = df.sparkSession.read.parquet(stage)
+    # once, to a folder of this call: the results are read twice below, and what the cache had is kept with them
+    fresh = written(call_rows(wanted.select("cache_key", payload), "cache_key", payload, function, workers, mode), "calls")
+    known = written(known.join(keyed.select("cache_key").distinct(), "cache_key", "left_semi"), "known")
     cache.add(fresh.where("ok"))
     old = known.select("cache_key", F.lit(True).alias("ok"), "value", F.lit(None).cast("string").alias("error_class"), F.lit(None).cast("string").alias("error"))
     return keyed.select(key, "cache_key").join(old.unionByName(fresh), "cache_key").drop("cache_key")
 
 
-def run_checkpointed(df: DataFrame, key: str, payload: str, function: Callable[[str], str], folder: str, every: int | None = None, resume: bool = False, reruns: int = 0, workers: int = 8) -> DataFrame:
+def run_checkpointed(df: DataFrame, key: str, payload: str, function: Callable[[str], str], folder: str, every: int | None = None, resume: bool = False, reruns: int = 0, workers: int = 8, mode: str = "thread") -> DataFrame:
     """(key, ok, value, error_class, error, attempt) of all rows, written rank by rank so that a run can be taken up again.
 
     Rows go in order of key, ``every`` at a time (all at once by default); each rank is a Parquet folder
@@ -119,22 +143,20 @@ def run_checkpointed(df: DataFrame, key: str, payload: str, function: Callable[[
 
     def call(rows: DataFrame, attempt: int) -> None:
         todo = rows.select(key, payload)
+        parts = 1
         if every is not None:
-            # bounds of ranks: one key for every rank reaches the driver
             from ..operators.dataset import number_rows
 
-            numbered = number_rows(todo, key, name="_k")
-            bounds = [r[0] for r in numbered.where(F.col("_k") % every == 0).select(key).orderBy(key).collect()]
-        else:
-            bounds = [None]
-        for k, low in enumerate(bounds):
-            part = todo
-            if low is not None:
-                part = part.where(F.col(key) >= low)
-                if k + 1 < len(bounds):
-                    part = part.where(F.col(key) < bounds[k + 1])
+            # rows are numbered and written by rank once; a rank then reads its own folder only
+            numbered = number_rows(todo, key, name="_k").withColumn("_rank", F.floor(F.col("_k") / every).cast("int"))
+            path = new_folder(spark, "ranks")
+            numbered.write.partitionBy("_rank").parquet(path)
+            todo = spark.read.schema(numbered.schema).parquet(path)
+            parts = todo.agg(F.coalesce(F.max("_rank") + 1, F.lit(0))).first()[0]
+        for k in range(parts):
+            part = todo.where(F.col("_rank") == k) if every is not None else todo
             rank = len(_list(spark, ranks)) if _exists(spark, ranks) else 0
-            call_rows(part, key, payload, function, workers).withColumn("attempt", F.lit(attempt)).write.mode("overwrite").parquet(f"{ranks}/{rank:06d}")
+            call_rows(part, key, payload, function, workers, mode).withColumn("attempt", F.lit(attempt)).write.mode("overwrite").parquet(f"{ranks}/{rank:06d}")
 
     call(df.join(done().select(key).distinct(), key, "left_anti") if resume else df, 0)
     attempt = 0
@@ -159,6 +181,41 @@ def _list(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().toString() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at) if s.isDirectory())
 
 
+@dataclass(frozen=True)
+class Calls:
+    """How a task calls its model: workers and mode in each task, a cache, and a folder of ranks of ``every`` rows from which a run can be resumed."""
+
+    workers: int = 8
+    mode: str = "thread"
+    retry: Retry = Retry()
+    cache: str | None = None
+    folder: str | None = None
+    every: int | None = None
+    resume: bool = False
+    reruns: int = 0
+
+    def run(self, df: DataFrame, key: str, payload: str, function: Callable[[str], str], name: str, version: str = "1") -> DataFrame:
+        """(key, ok, value, error_class, error) for each row of ``df``, called once and written: what reads it, however often, calls nothing.
+
+        Keys are unique. ``name`` and ``version`` tell steps of a task apart in cache and folder.
+        """
+        if self.folder:
+            got = run_checkpointed(df, key, payload, function, f"{self.folder.rstrip('/')}/{name}", self.every, self.resume, self.reruns, self.workers, self.mode).drop("attempt")
+        elif self.cache:
+            got = cached_calls(df, key, payload, function, Cache(df.sparkSession, self.cache), name, version, self.workers, self.mode)
+        else:
+            got = call_rows(df, key, payload, function, self.workers, self.mode)
+        got = written(got, "answers")
+        tried = 0
+        while not self.folder and (self.reruns < 0 or tried < self.reruns):
+            tried += 1
+            failed = got.where("not ok").select(key)
+            if failed.isEmpty():
+                break
+            again = call_rows(df.join(failed, key, "left_semi"), key, payload, function, self.workers, self.mode)
+            got = written(got.where("ok").unionByName(again), "answers")
+        return got
+
 def embed(df: DataFrame, text: str, function: Callable[[Sequence[str]], Sequence[Sequence[float]]], name: str = "embedding", batch: int = 12) -> DataFrame:
     """``df`` with an embedding of each text, ``batch`` texts at a time; null for null."""
 
@@ -172,3 +229,17 @@ def embed(df: DataFrame, text: str, function: Callable[[Sequence[str]], Sequence
         return pd.Series([filled.get(k) for k in texts.index], index=texts.index, dtype=object)
 
     return df.withColumn(name, run(F.col(text)))
+
+
+def embed_stored(df: DataFrame, text: str, function: Callable[[Sequence[str]], Sequence[Sequence[float]]], folder: str, model: str, name: str = "embedding", batch: int = 12) -> DataFrame:
+    """As :func:`embed`, but a text whose embedding by ``model`` is in ``folder`` isn't embedded again; new ones are added there, each text once."""
+    spark = df.sparkSession
+    kind = "cache_key string, value array<float>"
+    keyed = df.withColumn("_key", cache_key(model, "embedding", F.col(text)))
+    old = spark.read.schema(kind).parquet(folder) if _exists(spark, folder) else spark.createDataFrame([], kind)
+    wanted = keyed.where(F.col(text).isNotNull()).select(F.col("_key").alias("cache_key"), F.col(text).alias("_text")).dropDuplicates(["cache_key"])
+    fresh = written(embed(wanted.join(old, "cache_key", "left_anti"), "_text", function, "value", batch).select("cache_key", "value"), "embeddings")
+    known = written(old.join(wanted.select("cache_key"), "cache_key", "left_semi").dropDuplicates(["cache_key"]), "known")
+    fresh.write.mode("append").parquet(folder)
+    every = known.unionByName(fresh)
+    return keyed.join(every.select(F.col("cache_key").alias("_key"), F.col("value").alias(name)), "_key", "left").drop("_key")

@@ -8,8 +8,6 @@ from pyspark.sql.column import Column
 _SPACE = r"[\s\x1c-\x1f]"
 _FENCE = r"(?sU)```(\s*)(\S*)?\n(.*?)```"
 _OUTPUT = r"(?s)```output\n(.*?)```"
-_PROGRAM = r"(?s)^(.*)(\n```python\n.*\n```\n)(\n```output\n.*\n```\n)(.*)"
-_MARK = "\x00\x1epart\x1e\x00"  # stands in no text
 _STEP = r"(?s)```python\n(.*?)```[\n]*```output\n(.*?)```"
 _THINK = r"(?s)<think>(.*?)</think>"
 _LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -45,14 +43,47 @@ def count_steps(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_STEP))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before_last(text: Column, mark: str) -> Column:
+    """What stands before the last occurrence of a mark, or null."""
+    return F.when(F.contains(text, F.lit(mark)), F.left(text, F.length(text) - F.length(F.substring_index(text, mark, -1)) - len(mark)))
+
+
 def program_parts(text: Column) -> Column:
     """Struct (comprehension, code, output, summary) of a program-of-thought answer, each stripped; null if the text isn't one.
 
-    One pass of the pattern sets marks between the parts, for it is greedy and costs much on long texts.
+    From the end: the last closing fence, before it the last output fence that follows a closed block, and
+    before that the last Python fence. Marks are found as they stand, without a pattern, so the time is
+    linear in the text.
     """
-    names = ("comprehension", "code", "output", "summary")
-    parts = F.split(F.regexp_replace(text, _PROGRAM, "$1" + _MARK + "$2" + _MARK + "$3" + _MARK + "$4"), _MARK, -1)
-    return F.when(F.size(parts) == len(names), F.struct(*[strip(F.get(parts, F.lit(k))).alias(n) for k, n in enumerate(names)]))
+    code, join, close = "\n```python\n", "\n```\n\n```output\n", "\n```\n"
+
+    def cut(x: Column) -> Column:
+        return let(
+            _before_last(x, close),
+            lambda r: let(
+                # the fence may not run into the last one
+                _before_last(r, join),
+                lambda q: let(
+                    _before_last(q, code),
+                    lambda p: F.when(
+                        p.isNotNull(),
+                        F.struct(
+                            strip(p).alias("comprehension"),
+                            strip(F.substr(x, F.length(p) + 1, F.length(q) - F.length(p) + len(close))).alias("code"),
+                            strip(F.substr(x, F.length(q) + len(close) + 1, F.length(r) - F.length(q))).alias("output"),
+                            strip(F.substr(x, F.length(r) + len(close) + 1)).alias("summary"),
+                        ),
+                    ),
+                ),
+            ),
+        )
+
+    return let(text, cut)
 
 
 def program_output(text: Column) -> Column:

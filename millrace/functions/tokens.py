@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
@@ -17,21 +17,24 @@ def approximate_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[a-zA-Z0-9\x{80}-\x{10ffff}]+|[^a-zA-Z0-9\x{80}-\x{10ffff}\s]"))
 
 
-@lru_cache(4)
-def _encoding(path: str):
-    import tiktoken
-
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Pieces and their ids from a rank file, read on the driver."""
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
 def count_tokens(path: str):
-    """A function from a text column to its number of tokens by the rank file at ``path``, which every worker can read; it is loaded once a worker."""
+    """A function from a text column to its number of tokens by the rank file at ``path``, which is read on the driver and broadcast."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(read_ranks(path))
+    made: list = []
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        encode = _encoding(path).encode_ordinary
+        if not made:
+            import tiktoken
+
+            made.append(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={}))
+        encode = made[0].encode_ordinary
         return texts.map(lambda t: len(encode(t)), na_action="ignore").astype("Int64")
 
     return count

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import dedup
+from ..sources.shared import written
 
 BLOCK = 2048
 
@@ -113,35 +114,73 @@ def tokens(text):
 
 
 def jaccard_similarity(source: DataFrame, reference: DataFrame | None = None, threshold: float = 0.8, key: str = "id", text: str = "text") -> DataFrame:
-    """Rows of ``source`` without a reference row of a Jaccard similarity of words above ``threshold``; within one set both rows go."""
-    gone = jaccard_pairs(source, reference, threshold, key, text).select(F.col("a").alias(key)).distinct()
-    return source.join(gone, key, "left_anti")
-
+    """Rows of ``source`` without a reference row of a Jaccard similarity of words above ``threshold``; within one set both rows go.
 
-def jaccard_pairs(source: DataFrame, reference: DataFrame | None = None, threshold: float = 0.8, key: str = "id", text: str = "text") -> DataFrame:
-    """(a, b, similarity) above ``threshold``, exactly: words are ordered from rare to frequent, and two sets that similar share one of their first few, so only those are joined."""
+    Rows of equal words are one in the comparison, so thousands of copies cost no more than one.
+    """
     own = reference is None
-    # words as 64-bit hashes: sets of numbers compare several times as fast as sets of strings
-    sets = lambda df: df.select(F.col(key).alias("i"), F.array_distinct(F.transform(tokens(F.col(text)), lambda w: F.xxhash64(w))).alias("w")).where(F.size("w") > 0)
-    x = sets(source)
-    y = x if own else sets(reference)
-    frequency = x.select(F.explode("w").alias("word")) if own else x.select(F.explode("w").alias("word")).union(y.select(F.explode("w")))
-    frequency = frequency.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    x, rows = _word_sets(source, key, text)
+    y = x if own else _word_sets(reference, key, text)[0]
+    near = _similar_sets(x, y, threshold, own)
+    gone = near.select(F.col("a").alias("set"))
+    if own:
+        gone = gone.union(near.select("b"))
+        gone = gone.union(x.where("n > 1").select("set")) if threshold < 1 else gone
+    return source.join(rows.join(gone.distinct(), "set", "left_semi").select(F.col("i").alias(key)), key, "left_anti")
+
+
+def _word_sets(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(set, w, size, n): each set of words of ``df`` once, as 64-bit hashes, with the number of its rows; and the rows (i, set). Written, for both are read several times."""
+    # sets of numbers compare several times as fast as sets of strings
+    words = F.array_sort(F.array_distinct(F.transform(tokens(F.col(text)), lambda w: F.xxhash64(w))))
+    rows = df.select(F.col(key).alias("i"), words.alias("w")).where(F.size("w") > 0)
+    rows = written(rows.select("i", F.md5(F.to_json("w")).alias("set"), "w"), "words")
+    sets = rows.groupBy("set").agg(F.first("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    return written(sets.select("set", "w", F.size("w").alias("size"), "n"), "sets"), rows.select("i", "set")
+
+
+def _similar_sets(x: DataFrame, y: DataFrame, threshold: float, own: bool) -> DataFrame:
+    """(a, b, similarity) of different sets above ``threshold``, exactly; each pair once within one set.
+
+    Words are ordered from rare to frequent. Two sets that similar share one of their first few words, so
+    only those are joined; sizes, and what is left of both sets behind a shared word, rule out most of
+    the pairs before their sets are sent.
+    """
+    pairs = x.select("set", F.explode("w").alias("word")) if own else x.select("set", F.explode("w").alias("word")).union(y.select("set", F.explode("w")))
+    frequency = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
     def rare(df: DataFrame) -> DataFrame:
-        got = df.select("i", F.size("w").alias("size"), F.explode("w").alias("word")).join(frequency, "word")
-        got = got.groupBy("i", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+        got = df.select("set", "size", F.explode("w").alias("word")).join(frequency, "word")
+        got = got.groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
         first = (F.col("size") - F.ceil(F.col("size") * threshold) + 1).cast("int")
-        return got.select("i", "size", F.explode(F.slice("w", 1, F.greatest(first, F.lit(1)))).alias("e")).select("i", "size", "e.word")
+        return got.select("set", "size", F.posexplode(F.slice("w", 1, F.greatest(first, F.lit(1)))).alias("at", "e")).select("set", "size", "at", "e.word")
 
-    a = rare(x).select(F.col("i").alias("a"), F.col("size").alias("sa"), "word")
-    b = rare(y).select(F.col("i").alias("b"), F.col("size").alias("sb"), "word")
+    first = written(rare(x), "rare")
+    a = first.select(F.col("set").alias("a"), F.col("size").alias("sa"), F.col("at").alias("pa"), "word")
+    b = (first if own else rare(y)).select(F.col("set").alias("b"), F.col("size").alias("sb"), F.col("at").alias("pb"), "word")
+    most = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
     near = a.join(b, "word").where((F.col("sa") >= F.col("sb") * threshold) & (F.col("sb") >= F.col("sa") * threshold))
-    near = (near.where("a < b") if own else near).select("a", "b").distinct()
-    both = near.join(x.select(F.col("i").alias("a"), F.col("w").alias("wa")), "a").join(y.select(F.col("i").alias("b"), F.col("w").alias("wb")), "b")
+    # of the first word that two sets share, nothing before it is shared
+    near = (near.where("a < b") if own else near).groupBy("a", "b").agg(F.min_by(most, "pa").alias("most"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
+    near = near.where(F.col("most") >= (F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - 1e-6).select("a", "b")
+    both = near.join(x.select(F.col("set").alias("a"), F.col("w").alias("wa")), "a").join(y.select(F.col("set").alias("b"), F.col("w").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
-    scored = both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("similarity")).where(F.col("similarity") > threshold)
-    return scored.union(scored.select("b", "a", "similarity")) if own else scored
+    return both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("similarity")).where(F.col("similarity") > threshold)
+
+
+def jaccard_pairs(source: DataFrame, reference: DataFrame | None = None, threshold: float = 0.8, key: str = "id", text: str = "text") -> DataFrame:
+    """(a, b, similarity) above ``threshold``, exactly, every pair of rows both ways round; see :func:`jaccard_similarity` for which rows have one."""
+    own = reference is None
+    x, left = _word_sets(source, key, text)
+    y, right = (x, left) if own else _word_sets(reference, key, text)
+    found = _similar_sets(x, y, threshold, own)
+    if own:
+        found = found.union(found.select("b", "a", "similarity"))
+        if threshold < 1:
+            found = found.union(x.where("n > 1").select("set", "set", F.lit(1.0)))
+    rows = found.join(left.select(F.col("set").alias("a"), F.col("i")), "a").join(right.select(F.col("set").alias("b"), F.col("i").alias("j")), "b")
+    rows = rows.select(F.col("i").alias("a"), F.col("j").alias("b"), "similarity")
+    return rows.where("a <> b") if own else rows
 
 
 def nearest(source: DataFrame, reference: DataFrame | None = None, k: int = 1, key: str = "id", vector: str = "embedding", rows: int = BLOCK) -> DataFrame:

@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from ..external.backend import Backend, FakeBackend, Retry, answer_of
-from ..external.calls import call_rows, chat_function, chat_payload
+from ..external.backend import Backend, FakeBackend, answer_of
+from ..external.calls import Calls, chat_function, chat_payload
 from ..functions import labels
 from ..functions import messages as M
 from ..functions import text as T
 from ..functions.language import NAMES, detect_language
 from ..registry import transform
 from ..sandbox import run_column
+from ..sources.shared import written
 
 Result = tuple[DataFrame, DataFrame]
 
@@ -72,10 +73,14 @@ def rewrite_pot_remove_summary(df: DataFrame) -> Result:
     return _rewrite(df, lambda p: F.concat_ws("\n", p["comprehension"], p["code"], p["output"]))
 
 
-def ask(df: DataFrame, messages: Column, backend: Backend, params: Mapping[str, Any] | None = None, retry: Retry = Retry(), key: str = "id", name: str = "answer") -> DataFrame:
-    """``df`` with a struct (ok, value, error_class, error) of the model's answer to ``messages``."""
-    asked = df.withColumn("_ask", messages)
-    called = call_rows(asked.select(key, chat_payload("_ask").alias("_payload")), key, "_payload", chat_function(backend, params, retry))
+def ask(df: DataFrame, messages: Column, backend: Backend, params: Mapping[str, Any] | None = None, calls: Calls | None = None, key: str = "id", name: str = "answer") -> DataFrame:
+    """``df``, whose ids are unique, with a struct (ok, value, error_class, error) of the model's answer to ``messages``.
+
+    The calls are made here, once for each row, and written; reading the result doesn't call again.
+    """
+    how = calls or Calls()
+    asked = df.withColumn("_ask", messages).select(key, chat_payload("_ask").alias("_payload"))
+    called = how.run(asked, key, "_payload", chat_function(backend, params, how.retry), f"{backend.name}-{name.strip('_')}", repr(sorted((params or {}).items())))
     return df.join(called.select(key, F.struct("ok", "value", "error_class", "error").alias(name)), key)
 
 
@@ -86,12 +91,12 @@ def _answered(df: DataFrame, messages: Column, name: str = "answer") -> Result:
 
 
 @transform("generate_last_turn")
-def generate_last_turn(df: DataFrame, backend: Backend | None = None, **params) -> Result:
+def generate_last_turn(df: DataFrame, backend: Backend | None = None, calls: Calls | None = None, **params) -> Result:
     """A new answer at the end, in place of one that is there; the turn before must be a human's."""
     m = F.col("messages")
     asked = F.when(_at(-1) == "assistant", F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0)))).otherwise(m)
     ready, wrong = _divide(df, F.when(~F.coalesce(M.role(M.last(asked)) == "user", F.lit(False)), "no human turn to answer"), asked)
-    done, failed = _answered(ask(ready, F.col("messages"), backend or FakeBackend(), params), F.concat("messages", F.array(M.message("assistant", F.col("answer.value")))))
+    done, failed = _answered(ask(ready, F.col("messages"), backend or FakeBackend(), params, calls), F.concat("messages", F.array(M.message("assistant", F.col("answer.value")))))
     return done, wrong.unionByName(failed, allowMissingColumns=True)
 
 
@@ -102,23 +107,23 @@ def generate_for_test(df: DataFrame, **params) -> Result:
 
 
 @transform("generate_every_turn")
-def generate_every_turn(df: DataFrame, backend: Backend | None = None, **params) -> Result:
+def generate_every_turn(df: DataFrame, backend: Backend | None = None, calls: Calls | None = None, **params) -> Result:
     """Each human turn answered in order, with all before it as history."""
     import json
 
-    model = backend or FakeBackend()
+    model, how = backend or FakeBackend(), calls or Calls()
 
     def talk(payload: str) -> str:
         history: list[dict[str, str]] = []
         for turn in json.loads(payload):
             history.append(turn)
-            answer = Retry().call(lambda: answer_of(model.chat(history, params)))
+            answer = how.retry.call(lambda: answer_of(model.chat(history, params)))
             history.append({"role": "assistant", "content": answer})
         return json.dumps(history, ensure_ascii=False)
 
     human = F.filter("messages", lambda m: M.role(m) == "user")
     asked = df.withColumn("_ask", human)
-    called = call_rows(asked.select("id", chat_payload("_ask").alias("_p")), "id", "_p", talk).select("id", F.struct("ok", "value", "error_class", "error").alias("answer"))
+    called = how.run(asked.select("id", chat_payload("_ask").alias("_p")), "id", "_p", talk, f"{model.name}-turns", repr(sorted(params.items()))).select("id", F.struct("ok", "value", "error_class", "error").alias("answer"))
     spoken = F.transform(F.from_json("answer.value", "array<struct<role:string,content:string>>"), lambda m: F.struct(m["role"], m["content"], F.lit(None).cast("map<string,string>").alias("extras")))
     return _answered(df.join(called, "id"), spoken)
 
@@ -130,18 +135,18 @@ def system_prompt(id_: Column, seed: int = 42) -> Column:
 
 
 @transform("generate_pot_sample")
-def generate_pot_sample(df: DataFrame, backend: Backend | None = None, timeout: float = 3.0, allow: bool = False, **params) -> Result:
+def generate_pot_sample(df: DataFrame, backend: Backend | None = None, timeout: float = 3.0, allow: bool = False, calls: Calls | None = None, **params) -> Result:
     """A program-of-thought answer from a question and code: the code is run, and a model writes what is asked and what came out."""
     model = backend or FakeBackend()
     m = F.col("messages")
     question = F.filter(m, lambda x: M.role(x) == "user")
     coded = df.withColumn("_code", T.extract_code(M.last(m)["content"])).withColumn("_q", F.get(question, F.lit(0))["content"])
-    ran = run_column(coded, "_code", "_run", timeout, allow)
+    ran = written(run_column(coded, "_code", "_run", timeout, allow), "runs")  # each program runs once
     reason = F.when(F.col("_code").isNull() | (T.strip(F.col("_code")) == ""), "no code").when(F.col("_q").isNull(), "no question").when(F.coalesce(F.col("_run.timeout") | (F.col("_run.exit_code") != 0), F.lit(True)), "the code doesn't run").when(T.strip(F.col("_run.stdout")) == "", "no output")
     ready, wrong = _divide(ran, reason, m)
     extra = ("_code", "_q", "_run")
-    first = ask(ready, F.array(M.message("user", F.concat(F.lit("Say what this asks:\n"), F.col("_q")))), model, params, name="_first")
-    both = ask(first, F.array(M.message("user", F.concat(F.lit("Sum up this output:\n"), F.col("_run.stdout"), F.lit("\nof this task:\n"), F.col("_q")))), model, params, name="_second")
+    first = ask(ready, F.array(M.message("user", F.concat(F.lit("Say what this asks:\n"), F.col("_q")))), model, params, calls, name="_first")
+    both = ask(first, F.array(M.message("user", F.concat(F.lit("Sum up this output:\n"), F.col("_run.stdout"), F.lit("\nof this task:\n"), F.col("_q")))), model, params, calls, name="_second")
     failed = F.when(~F.col("_first.ok") | ~F.col("_second.ok"), "the call failed")
     body = F.concat(F.col("_first.value"), F.lit("\n```python\n"), T.strip(F.col("_code")), F.lit("\n```\n\n```output\n"), T.strip(F.col("_run.stdout")), F.lit("\n```\n"), F.col("_second.value"))
     done, bad = _divide(both, failed, F.array(M.message("system", system_prompt(F.col("id"))), M.message("user", F.col("_q")), M.message("assistant", body)))
@@ -149,26 +154,26 @@ def generate_pot_sample(df: DataFrame, backend: Backend | None = None, timeout:
     return done.drop(*more), wrong.drop(*extra).unionByName(bad.drop(*more))
 
 
-def _classify(df: DataFrame, names: tuple[str, ...], tag: str, line: str, backend: Backend | None, params: Mapping[str, Any]) -> Result:
+def _classify(df: DataFrame, names: tuple[str, ...], tag: str, line: str, backend: Backend | None, params: Mapping[str, Any], calls: Calls | None) -> Result:
     order = F.array_sort(F.transform(F.array(*map(F.lit, names)), lambda n: F.struct(F.xxhash64(n, "id").alias("h"), n.alias("n"))))
     prompt = F.concat(F.lit(f"Choose one and end with a line '{line}: NAME'. Names: "), F.array_join(F.transform(order, lambda x: x["n"]), ", "))
     told = F.array(M.message("system", prompt), M.message("user", M.to_str(F.col("messages"))))
-    got = ask(df, told, backend or FakeBackend(), params).withColumn("_label", labels.parse_label(names, line)(F.col("answer.value")))
+    got = ask(df, told, backend or FakeBackend(), params, calls).withColumn("_label", labels.parse_label(names, line)(F.col("answer.value")))
     reason = F.when(~F.col("answer.ok"), F.col("answer.error")).when(F.col("_label").isNull(), "no label in the answer")
     done, rejected = _divide(got, reason, M.tag_first(F.col("messages"), tag, F.col("_label")))
     return done.drop("answer", "_label"), rejected.drop("answer", "_label")
 
 
 @transform("classify_programming_language")
-def classify_programming_language(df: DataFrame, backend: Backend | None = None, **params) -> Result:
+def classify_programming_language(df: DataFrame, backend: Backend | None = None, calls: Calls | None = None, **params) -> Result:
     """The first message tagged with the programming language that a model names."""
-    return _classify(df, labels.LANGUAGES, "programming_language", "programming language", backend, params)
+    return _classify(df, labels.LANGUAGES, "programming_language", "programming language", backend, params, calls)
 
 
 @transform("classify_coding_task")
-def classify_coding_task(df: DataFrame, backend: Backend | None = None, **params) -> Result:
+def classify_coding_task(df: DataFrame, backend: Backend | None = None, calls: Calls | None = None, **params) -> Result:
     """The first message tagged with the kind of coding task that a model names; the order of names differs by row."""
-    return _classify(df, labels.CODING_TASKS, "coding_task", "task", backend, params)
+    return _classify(df, labels.CODING_TASKS, "coding_task", "task", backend, params, calls)
 
 
 @transform("find_code_agreement")
@@ -188,16 +193,16 @@ def find_code_agreement(df: DataFrame, backends: Sequence[Backend] = (), tag: st
 
 
 @transform("translate_python_to_bash")
-def translate_python_to_bash(df: DataFrame, backend: Backend | None = None, runner: Callable[[str], str] | None = None, **params) -> Result:
+def translate_python_to_bash(df: DataFrame, backend: Backend | None = None, runner: Callable[[str], str] | None = None, calls: Calls | None = None, **params) -> Result:
     """The program of the last message written anew for another shell by a model, kept if ``runner`` says ``Success``; without a runner nothing is run and all are kept."""
     code = T.extract_code(M.last(F.col("messages"))["content"])
     ready, wrong = _divide(df.withColumn("_code", code), F.when(code.isNull(), "no code"), F.col("messages"))
     told = F.array(M.message("user", F.concat(F.lit("Write this Python program for Bash, in one fenced block:\n"), F.col("_code"))))
-    got = ask(ready, told, backend or FakeBackend(), params).withColumn("_new", T.extract_code(F.col("answer.value")))
+    got = ask(ready, told, backend or FakeBackend(), params, calls).withColumn("_new", T.extract_code(F.col("answer.value")))
     reason = F.when(~F.col("answer.ok"), F.col("answer.error")).when(F.col("_new").isNull(), "no code in the answer")
     body = F.concat(F.lit("```bash\n"), F.col("_new"), F.lit("```"))
     if runner is not None:
-        ran = call_rows(got.select("id", "_new"), "id", "_new", lambda c: runner(c or "")).select("id", F.col("value").alias("_status"))
+        ran = (calls or Calls()).run(got.select("id", "_new"), "id", "_new", lambda c: runner(c or ""), "runs").select("id", F.col("value").alias("_status"))
         got = got.join(ran, "id", "left")
         reason = reason.when(F.coalesce(F.col("_status") != "Success", F.lit(True)), "the program doesn't run")
     done, rejected = _divide(got, reason, M.replace_last(F.col("messages"), body))
@@ -205,7 +210,7 @@ def translate_python_to_bash(df: DataFrame, backend: Backend | None = None, runn
     return done.drop(*more), wrong.drop(*more).unionByName(rejected.drop(*more))
 
 
-def translate(df: DataFrame, backend: Backend, source: str = "en", target: str = "zh", relaxed: bool = False, **params) -> Result:
+def translate(df: DataFrame, backend: Backend, source: str = "en", target: str = "zh", relaxed: bool = False, calls: Calls | None = None, **params) -> Result:
     """Question, answer and ground truth in another language: the model's text must be in it, and have the three parts."""
     m = F.col("messages")
     human, answer = F.get(F.filter(m, lambda x: M.role(x) == "user"), F.lit(0)), F.get(F.filter(m, lambda x: M.role(x) == "assistant"), F.lit(0))
@@ -213,7 +218,7 @@ def translate(df: DataFrame, backend: Backend, source: str = "en", target: str =
     body = F.concat(F.lit("question: "), human["content"], F.lit("\nanswer: "), answer["content"], F.lit("\nground_truth: "), truth, F.lit("\n"))
     ready, wrong = _divide(df.withColumn("_body", body), F.when(body.isNull(), "no question or answer"), m)
     told = F.array(M.message("system", F.lit(f"Translate from {NAMES[source]} to {NAMES[target]}; keep the labels question, answer and ground_truth.")), M.message("user", F.col("_body")))
-    got = ask(ready, told, backend, params)
+    got = ask(ready, told, backend, params, calls)
     parts = T.question_parts(F.col("answer.value"))
     reason = F.when(~F.col("answer.ok"), F.col("answer.error")).when(detect_language(F.col("answer.value"), relaxed) != target, "another language").when(parts.isNull(), "a part is missing")
     extras = F.map_concat(F.map_filter(F.coalesce(answer["extras"], F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: k != "ground_truth"), F.create_map(F.lit("ground_truth"), parts["ground_truth"]))

@@ -48,14 +48,18 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
 
 
-_WRAPPED_SQL = "('pre' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) || '```output' || chr(10) || n_chars || chr(10) || '```' || chr(10) || 'sum')"
+_WRAPPED_SQL = """(case n_chars % 4 when 0 then 'pre' || chr(10) || text else 'pre' || chr(10) || '```python' || chr(10) || (case n_chars % 4 when 2 then '' else text end) || chr(10) || '```' || chr(10) || chr(10)
+  || '```output' || chr(10) || (case n_chars % 4 when 3 then '' else n_chars::varchar end) || chr(10) || '```' || chr(10) || (case n_chars % 4 when 3 then '' else 'sum' end) end)"""
 _POT = "'^(.*)(\\n```python\\n.*\\n```\\n)(\\n```output\\n.*\\n```\\n)(.*)'"
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
 def _wrapped() -> Column:
-    """A document's text as code, with its number of characters as output."""
-    return F.concat(F.lit("pre\n```python\n"), F.col("text"), F.lit("\n```\n\n```output\n"), F.col("n_chars").cast("string"), F.lit("\n```\nsum"))
+    """A document's text as code, with its number of characters as output. By that number, a quarter has no fences, a quarter no code, and a quarter neither output nor summary."""
+    kind = F.col("n_chars") % 4
+    code, n = F.when(kind == 2, "").otherwise(F.col("text")), F.when(kind == 3, "").otherwise(F.col("n_chars").cast("string"))
+    whole = F.concat(F.lit("pre\n```python\n"), code, F.lit("\n```\n\n```output\n"), n, F.lit("\n```\n"), F.when(kind == 3, "").otherwise("sum"))
+    return F.when(kind == 0, F.concat(F.lit("pre\n"), F.col("text"))).otherwise(whole)
 
 
 def fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +140,9 @@ def filter_multi_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.filter_samples(docs.select("id", F.array(M.message("user", F.col("source")), M.message("assistant", twice)).alias("messages")), "is_multi_step").select("id")
 
 
-@query("filter_pot_regular", f"select doc_id as id from documents where regexp_matches({_WRAPPED_SQL}, {_POT}, 's') and n_chars is not null")
+@query("filter_pot_regular", f"select doc_id as id from documents where regexp_matches({_WRAPPED_SQL}, {_POT}, 's') and {_STRIP.format(f"regexp_extract({_WRAPPED_SQL}, {_POT}, 3, 's')")} <> '```output' || chr(10) || chr(10) || '```'")
 def filter_pot_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.filter_samples(fenced(spark, sf_dir), "is_pot_output_regular").select("id")
+    return filters.filter_samples(fenced(spark, sf_dir), "is_pot_output_regular", strict=False).select("id")
 
 
 @query("filter_overlong", "with t as (select conv_id as id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn) as x from conversations group by conv_id) select id, len(regexp_extract_all(x, '[a-zA-Z0-9\\x{80}-\\x{10ffff}]+|[^a-zA-Z0-9\\x{80}-\\x{10ffff}\\s]')) as tokens from t where tokens > 512")
@@ -147,18 +151,61 @@ def filter_overlong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("id", approximate_tokens(M.chat_template(F.col("messages"))).cast("long").alias("tokens"))
 
 
-@query("filter_syntax_error")
+@query("filter_syntax_error", "select doc_id as id from documents where n_chars % 3 = 0")
 def filter_syntax_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.filter_samples(fenced(spark, sf_dir), "has_syntax_error").select("id")
+    docs = documents(spark, sf_dir)
+    code = F.concat(F.lit("```python\nx = "), F.to_json(F.array("source")), F.lit("[0]\ny = ("), F.col("n_chars").cast("string"), F.when(F.col("n_chars") % 3 == 0, " +").otherwise(")"), F.lit("\n```"))
+    return filters.filter_samples(docs.select("id", F.array(M.message("user", F.col("source")), M.message("assistant", code)).alias("messages")), "has_syntax_error").select("id")
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, length, code): a program for each item of the benchmark, that prints the length of its text, or doesn't end, can't be parsed, fails an assertion, or fails otherwise."""
+    text = F.concat(F.lit("import json\nx = json.loads(r'''"), F.to_json(F.array("text")), F.lit("''')[0]\n"))
+    n = F.col("item_id") % 20
+    end = F.when(n == 0, "while True: pass").when(n % 5 == 1, "print(").when(n % 5 == 2, "assert len(x) < 0").when(n % 5 == 3, "raise ValueError(len(x))").otherwise("print(len(x))")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.length("text").alias("length"), F.concat(text, end).alias("code")).repartition(8)
+
 
+_OUTCOME = "case when item_id % 20 = 0 then 'timeout' when item_id % 5 = 1 then 'syntax_error' when item_id % 5 = 2 then 'assertion_error' when item_id % 5 = 3 then 'error' else 'ok' end"
 
-@query("run_code", "select item_id as id, 'ok' as status, length(text) || chr(10) as stdout from benchmark")
+
+@query("run_code", f"select item_id as id, {_OUTCOME} as status, case when {_OUTCOME} = 'ok' then length(text) || chr(10) else '' end as stdout from benchmark")
 def run_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sandbox import run_column, status
 
-    code = F.concat(F.lit("import json\nprint(len(json.loads(r'''"), F.to_json(F.array("text")), F.lit("''')[0]))"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), code.alias("code")).repartition(8)
-    return run_column(items, "code", allow=True).select("id", status(F.col("run")).alias("status"), F.col("run.stdout").alias("stdout"))
+    ran = run_column(programs(spark, sf_dir), "code", timeout=8.0, allow=True)
+    return ran.select("id", status(F.col("run")).alias("status"), F.col("run.stdout").alias("stdout"))
+
+
+def answers_with_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs as samples, whose output fence is right for ids that aren't divisible by 3."""
+    made = programs(spark, sf_dir)
+    output = F.when(F.col("id") % 3 == 0, "-1").otherwise(F.concat(F.lit(" "), F.col("length").cast("string")))
+    answer = F.concat(F.lit("so\n```python\n"), F.col("code"), F.lit("\n```\n\n```output\n"), output, F.lit("\n```\nend"))
+    return made.select("id", F.col("id").cast("long").alias("pos"), F.array(M.message("user", F.concat(F.lit("q"), F.col("id").cast("string"))), M.message("assistant", answer)).alias("messages"), F.lit(None).cast("map<string,string>").alias("extras"))
+
+
+@query("can_python_code_run", f"select item_id as id from benchmark where {_OUTCOME} = 'ok'")
+def can_python_code_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_samples(answers_with_code(spark, sf_dir), "can_python_code_run", timeout=8.0, allow=True).select("id")
+
+
+@query("run_result_correct", f"select item_id as id from benchmark where {_OUTCOME} = 'ok' and item_id % 3 <> 0")
+def run_result_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_samples(answers_with_code(spark, sf_dir), "python_code_run_result_correct", timeout=8.0, allow=True).select("id")
+
+
+@query("filter_overlong_lines", "with t as (select conv_id as id, string_agg(role || ': ' || text, chr(10) order by turn) as x from conversations group by conv_id) select id from t where len(regexp_extract_all(x, '[a-zA-Z0-9\\x{80}-\\x{10ffff}]+|[^a-zA-Z0-9\\x{80}-\\x{10ffff}\\s]')) > 300")
+def filter_overlong_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_samples(samples(spark, sf_dir), "is_overlong", threshold=300, template=False).select("id")
+
+
+@query("filter_own_predicate", "select conv_id as id from conversations group by conv_id having count(*) % 2 = 0")
+def filter_own_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..registry import predicate
+
+    predicate("_even_messages")(lambda by=2: F.size("messages") % by == 0)
+    return filters.filter_samples(samples(spark, sf_dir), "_even_messages", by=2).select("id")
 
 
 # -- transforms
@@ -196,6 +243,12 @@ _rewritten("rewrite_pot_remove_output", "p || chr(10) || chr(10) || c || chr(10)
 _rewritten("rewrite_pot_remove_output_summary", "p || chr(10) || c")
 _rewritten("rewrite_pot_remove_summary", "p || chr(10) || c || chr(10) || o")
 
+
+@query("rewrite_pot_rejects", "select doc_id as id, case when n_chars % 4 = 0 then 'not a program-of-thought answer' else 'a part is empty' end as reason from documents where n_chars % 4 in (0, 3)")
+def rewrite_pot_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.rewrite_pot_remove_output(fenced(spark, sf_dir))[1].select("id", "reason")
+
+
 _FAKE = "'echo:' || substr(sha256({}), 1, 16)"
 
 
@@ -231,16 +284,22 @@ def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.agreement(voters, "doc_id", "vote")
 
 
-@query("parse_labels", "select conv_id, turn, case when role = 'user' then 'qa' when role = 'assistant' then 'debug' end as label from conversations")
+_TASKS_SQL = str([x.lower() for x in CODING_TASKS])
+
+
+@query("parse_labels", f"select conv_id, turn, case when length(text) % 3 = 0 then 'other' when length(text) % 3 = 1 then {_TASKS_SQL}[length(text) % 10 + 1] end as label from conversations")
 def parse_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that name a label, that name one almost, and that name none."""
     turns = table(spark, sf_dir, "conversations")
-    said = F.when(F.col("role") == "user", "why\ntask: QA").when(F.col("role") == "assistant", "so\ntask: Debugs").otherwise("none")
+    n = F.length("text")
+    named = F.get(F.array(*map(F.lit, CODING_TASKS)), n % 10)
+    said = F.when(n % 3 == 0, "so\ntask: Debgu").when(n % 3 == 1, F.concat(F.lit("task: x\nwhy\ntask: "), named, F.lit(" "))).otherwise(F.concat(F.lit("no such line, "), named))
     return turns.select("conv_id", "turn", parse_label(CODING_TASKS, "task")(said).alias("label"))
 
 
 # -- text functions
 
-@query("extract_code", f"select doc_id as id, regexp_extract({_WRAPPED_SQL}, '```(\\s*)(\\S*)?\\n(.*?)```', 3, 's') as code, regexp_extract({_WRAPPED_SQL}, '```output\\n(.*?)```', 1, 's') as output from documents")
+@query("extract_code", f"select doc_id as id, case when n_chars % 4 > 0 then regexp_extract({_WRAPPED_SQL}, '```(\\s*)(\\S*)?\\n(.*?)```', 3, 's') end as code, case when n_chars % 4 > 0 then regexp_extract({_WRAPPED_SQL}, '```output\\n(.*?)```', 1, 's') end as output from documents")
 def extract_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("id", T.extract_code(_wrapped()).alias("code"), T.extract_output(_wrapped()).alias("output"))
 
@@ -314,7 +373,7 @@ def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- sets, order, samples
 
-@query("merge", "with n as (select count(*) as n from documents) select doc_id as id, text from documents union all select doc_id + n, text from documents, n")
+@query("merge", "with n as (select max(doc_id) + 1 as n from documents) select doc_id as id, text from documents union all select doc_id + n, text from documents, n")
 def merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("id", F.col("id").alias("pos"), "text")
     return dataset.merge(docs, docs).select("id", "text")
@@ -393,10 +452,11 @@ def dedup_exact_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_match(docs, docs.join(poor, "id", "left_semi"))
 
 
-@query("dedup_exact_self", "select doc_id as id, text from documents where text is null")
+@query("dedup_exact_self", "select doc_id as id from documents where n_chars % 3 = 0")
 def dedup_exact_self(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("id", "text")
-    return dedup.exact_match(docs, docs)
+    """A set is its own reference: all rows go but those without a text, here a third."""
+    docs = documents(spark, sf_dir).select("id", F.when(F.col("n_chars") % 3 > 0, F.col("text")).alias("text"))
+    return dedup.exact_match(docs, docs).select("id")
 
 
 @query("distinct_text", "select min(doc_id) as id, text from documents group by text")
@@ -443,12 +503,23 @@ def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.score_stats(embeddings(spark, sf_dir))
 
 
-@query("dedup_jaccard", """with s as (select conv_id as id, list_distinct(list_filter(regexp_split_to_array(lower(string_agg(role || ': ' || text, chr(10) order by turn)), '\\s+'), lambda x: x <> '')) as w from conversations group by conv_id),
- p as (select a.id, len(list_intersect(a.w, b.w)) as k, len(a.w) + len(b.w) as n from s a, s b where a.id <> b.id)
- select id from s where id not in (select id from p where k::double / (n - k) > 0.3)""")
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda x: x <> ''))"
+_NEAR = "with s as (select doc_id as id, {w} as w from documents), p as (select a.id as a, b.id as b, len(list_intersect(a.w, b.w)) as k, len(a.w) + len(b.w) as n from s a, s b where a.id <> b.id and least(len(a.w), len(b.w)) >= {t} * greatest(len(a.w), len(b.w)))"
+
+
+@query("dedup_jaccard", _NEAR.format(w=_WORDS.format("text"), t=0.6) + " select id from s where id not in (select a from p where k::double / (n - k) > 0.6)")
 def dedup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = samples(spark, sf_dir).select("id", M.to_str(F.col("messages")).alias("text"))
-    return dedup.jaccard_similarity(texts, threshold=0.3).select("id")
+    return dedup.jaccard_similarity(documents(spark, sf_dir), threshold=0.6).select("id")
+
+
+@query("jaccard_pairs", _NEAR.format(w=_WORDS.format("text"), t=0.8) + " select a, b, round(k::double / (n - k), 9) as similarity from p where k::double / (n - k) > 0.8")
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.jaccard_pairs(documents(spark, sf_dir), threshold=0.8).select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+@query("dedup_jaccard_reference", f"with s as (select item_id as id, {_WORDS.format('text')} as w from benchmark), d as (select doc_id as id, {_WORDS.format('text')} as w from documents) select id from d where id not in (select d.id from d, s where len(list_intersect(d.w, s.w))::double / (len(d.w) + len(s.w) - len(list_intersect(d.w, s.w))) > 0.2)")
+def dedup_jaccard_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.jaccard_similarity(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id"), threshold=0.2).select("id")
 
 
 # -- streams

@@ -62,9 +62,9 @@ def read_samples(spark: SparkSession, paths: str | Sequence[str], schema: str |
 
 
 def concat(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of both, ids and positions of the right one shifted by the number of rows of the left."""
-    n = left.count()
-    return left.unionByName(right.withColumn("id", F.col("id") + n).withColumn("pos", F.col("pos") + n), allowMissingColumns=True)
+    """Rows of both, ids and positions of the right one shifted to begin behind the largest of the left, so that none meet."""
+    last = left.agg(*[F.coalesce(F.max(c) + 1, F.lit(0)).alias(c) for c in ("id", "pos")]).first()
+    return left.unionByName(right.withColumn("id", F.col("id") + last["id"]).withColumn("pos", F.col("pos") + last["pos"]), allowMissingColumns=True)
 
 
 def to_json(samples: DataFrame) -> DataFrame:
@@ -83,17 +83,25 @@ def write_jsonl(samples: DataFrame, path: str) -> None:
 
 
 def write_json_array(samples: DataFrame, path: str, indent: int = 4) -> None:
-    """Canonical rows as one JSON array in a local file, in order, letters kept as they are; rows come one partition at a time."""
+    """Canonical rows as one JSON array in a file of any file system, in order, letters kept as they are; rows come one partition at a time."""
     import json
 
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        some = False
+    spark = samples.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.setWriteChecksum(False)
+    out, held, some = fs.create(at, True), bytearray(b"["), False
+    try:
         for r in to_json(samples).orderBy("pos").toLocalIterator():
             body = json.dumps(json.loads(r["raw"]), indent=indent, ensure_ascii=False).replace("\n", "\n" + " " * indent)
-            f.write(("," if some else "") + "\n" + " " * indent + body)
+            held += (("," if some else "") + "\n" + " " * indent + body).encode("utf-8", "surrogatepass")
             some = True
-        f.write("\n]" if some else "]")
+            if len(held) > 1 << 20:
+                out.write(bytes(held))
+                held.clear()
+        out.write(bytes(held) + (b"\n]" if some else b"]"))
+    finally:
+        out.close()
 
 
 def check_paths(spark: SparkSession, sources: Sequence[str] = (), outputs: Sequence[str] = ()) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .external.backend import get_backend
+from .external.calls import Calls
 from .functions import messages as M
 from .functions.plain import log, part_name
 from .operators import dataset, dedup, filters, sampling, stats, transforms
@@ -36,18 +38,28 @@ def write(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").parquet(path)
 
 
-def _read(spark: SparkSession, paths: Sequence[str], schema: str | None = None) -> DataFrame:
-    S.check_paths(spark, paths)
+def _read(spark: SparkSession, paths: Sequence[str], schema: str | None = None, *outputs: str | None) -> DataFrame:
+    """The samples of ``paths``; sources and outputs are checked before anything is read."""
+    S.check_paths(spark, paths, [p for p in outputs if p])
     return S.read_samples(spark, list(paths), schema)
 
 
+def _calls(options: dict[str, Any]) -> Calls:
+    """How to call a model, from the options of a task, which are taken out."""
+    names = {"num_workers": "workers", "call_mode": "mode", "cache_dir": "cache", "checkpoint_dir": "folder", "checkpoint_interval": "every", "resume_from_checkpoint": "resume", "max_rerun_count": "reruns"}
+    given = {own: options.pop(name, None) for name, own in names.items()}
+    if given["resume"] and not given["folder"]:
+        raise ValueError("a run is resumed from a checkpoint folder")
+    return Calls(**{k: v for k, v in given.items() if v is not None})
+
+
 def _renumber(df: DataFrame) -> DataFrame:
     return dataset.number_rows(df.drop("id").withColumnRenamed("pos", "_p"), "_p", name="id").withColumn("pos", F.col("id")).drop("_p")
 
 
 @task("merge")
 def merge(spark: SparkSession, source_file: Sequence[str], output_file: str, schema: str | None = None, shuffled: bool = False, seed: int = 42, dry_run: bool = False, **_: Any) -> None:
-    whole = dataset.merge(_read(spark, source_file, schema))
+    whole = dataset.merge(_read(spark, source_file, schema, output_file))
     if dry_run:
         return
     write(dataset.shuffle(whole, seed) if shuffled else whole, output_file)
@@ -57,38 +69,38 @@ def merge(spark: SparkSession, source_file: Sequence[str], output_file: str, sch
 def sample(spark: SparkSession, source_file: Sequence[str], output_file: str, ratio: float | None = None, num: int | None = None, seed: int = 42, schema: str | None = None, parity: bool = False, **_: Any) -> None:
     if len(source_file) != 1:
         raise ValueError("one source file")
-    write(sampling.sample(_read(spark, source_file, schema), num, ratio, seed, parity=parity), output_file)
+    write(sampling.sample(_read(spark, source_file, schema, output_file), num, ratio, seed, parity=parity), output_file)
 
 
 @task("split")
 def split(spark: SparkSession, source_file: Sequence[str], output_dir: str, ratios: Sequence[float], randomly: bool = False, seed: int = 42, schema: str | None = None, **_: Any) -> list[str]:
-    rows = _read(spark, source_file, schema)
     stem = source_file[0].rsplit("/", 1)[-1].rsplit(".", 1)[0]
     total = sum(ratios)
-    out = []
-    for k, part in enumerate(sampling.split(rows, ratios, randomly, seed)):
-        out.append(f"{output_dir.rstrip('/')}/{part_name(stem, ratios[k] / total, k, len(ratios))}")
-        write(_renumber(part), out[-1])
+    out = [f"{output_dir.rstrip('/')}/{part_name(stem, r / total, k, len(ratios))}" for k, r in enumerate(ratios)]
+    rows = _read(spark, source_file, schema, *out)
+    for path, part in zip(out, sampling.split(rows, ratios, randomly, seed)):
+        write(_renumber(part), path)
     return out
 
 
 @task("sort")
 def sort(spark: SparkSession, source_file: Sequence[str], output_file: str, key: str = "id", reverse: bool = False, schema: str | None = None, **_: Any) -> None:
-    write(dataset.sort(_read(spark, source_file, schema), dataset.by_last_message(key), reverse), output_file)
+    write(dataset.sort(_read(spark, source_file, schema, output_file), dataset.by_last_message(key), reverse), output_file)
 
 
 @task("filter")
 def filter_(spark: SparkSession, source_file: Sequence[str], output_file: str, filter_function: str, partial_kwargs: dict[str, Any] | None = None, dry_run: bool = False, schema: str | None = None, **_: Any) -> None:
-    write(filters.filter_samples(_read(spark, source_file, schema), filter_function, dry_run, **(partial_kwargs or {})), output_file)
-    log.info("filtered by %s into %s", filter_function, output_file)
+    kept, seen = stats.counted(filters.filter_samples(_read(spark, source_file, schema, output_file), filter_function, dry_run, **(partial_kwargs or {})), "kept")
+    write(kept, output_file)
+    log.info("filtered by %s into %s: %d rows kept", filter_function, output_file, seen.get["n"])
 
 
 @task("dedup")
-def dedup_(spark: SparkSession, source_file: Sequence[str], output_file: str, dedup_function: str = "exact_match", reference_file: Sequence[str] | None = None, threshold: float | None = None, embedder: str | None = None, schema: str | None = None, dry_run: bool = False, batch_size: int = 12, **_: Any) -> None:
+def dedup_(spark: SparkSession, source_file: Sequence[str], output_file: str, dedup_function: str = "exact_match", reference_file: Sequence[str] | None = None, threshold: float | None = None, embedder: str | None = None, schema: str | None = None, dry_run: bool = False, batch_size: int = 12, cache_dir: str | None = None, **_: Any) -> None:
     from .external.backend import get_embedder
-    from .external.calls import embed
+    from .external.calls import embed, embed_stored
 
-    source = _read(spark, source_file, schema).withColumn("text", M.to_str(F.col("messages")))
+    source = _read(spark, source_file, schema, output_file).withColumn("text", M.to_str(F.col("messages")))
     own = reference_file is None or list(reference_file) == list(source_file)
     reference = None if own else _read(spark, reference_file, schema).withColumn("text", M.to_str(F.col("messages")))
     if dry_run:
@@ -97,7 +109,8 @@ def dedup_(spark: SparkSession, source_file: Sequence[str], output_file: str, de
     if dedup_function == "exact_match":
         left = dedup.exact_match(source, source if reference is None else reference)
     elif dedup_function == "embedding_similarity":
-        with_vector = lambda df: embed(df, "text", get_embedder(embedder or ""), batch=batch_size)
+        model = get_embedder(embedder or "")
+        with_vector = lambda df: embed_stored(df, "text", model, cache_dir, embedder or "", batch=batch_size) if cache_dir else embed(df, "text", model, batch=batch_size)
         left = dedup.embedding_similarity(with_vector(source), None if reference is None else with_vector(reference), **options).drop("embedding")
     elif dedup_function in DEDUPS:
         left = DEDUPS[dedup_function](source, reference, **options)
@@ -107,25 +120,40 @@ def dedup_(spark: SparkSession, source_file: Sequence[str], output_file: str, de
 
 
 @task("generate")
-def generate(spark: SparkSession, source_file: Sequence[str], output_file: str, process_function: str, model: str | None = None, failure_file: str | None = None, dry_run: bool = False, schema: str | None = None, partial_kwargs: dict[str, Any] | None = None, **_: Any) -> None:
+def generate(spark: SparkSession, source_file: Sequence[str], output_file: str, process_function: str, model: str | None = None, failure_file: str | None = None, dry_run: bool = False, schema: str | None = None, partial_kwargs: dict[str, Any] | None = None, max_tokens: int | None = None, **more: Any) -> None:
+    """Rows through a transform. A transform that calls a model takes ``calls``: workers, cache, checkpoints, reruns."""
     if process_function not in TRANSFORMS:
         raise ValueError(f"no transform {process_function}; there are {sorted(TRANSFORMS)}")
-    rows = _read(spark, source_file, schema)
+    calls = _calls(more)
+    rows = _read(spark, source_file, schema, output_file, failure_file)
     options = dict(partial_kwargs or {})
     if model is not None:
         options["backend"] = get_backend(model)
+    if {"calls", "params"} & set(inspect.signature(TRANSFORMS[process_function]).parameters):
+        options["calls"] = calls
+        if max_tokens is not None:
+            options["max_tokens"] = max_tokens
     done, rejected = TRANSFORMS[process_function](sampling.dry_run(rows) if dry_run else rows, **options)
+    _write_both(done, rejected, output_file, failure_file)
+
+
+def _write_both(done: DataFrame, rejected: DataFrame, output_file: str, failure_file: str | None) -> None:
+    done, good = stats.counted(done, "done")
     write(done, output_file)
+    log.info("%d rows done, into %s", good.get["n"], output_file)
     if failure_file:
+        rejected, bad = stats.counted(rejected, "rejected")
         write(rejected, failure_file)
+        log.info("%d rows rejected, into %s", bad.get["n"], failure_file)
 
 
 @task("translate")
-def translate(spark: SparkSession, source_file: Sequence[str], output_file: str, model: str, src_lang_code: str = "en", tgt_lang_code: str = "zh", failure_file: str | None = None, schema: str | None = None, **_: Any) -> None:
-    done, rejected = transforms.translate(_read(spark, source_file, schema), get_backend(model), src_lang_code, tgt_lang_code)
-    write(done, output_file)
-    if failure_file:
-        write(rejected, failure_file)
+def translate(spark: SparkSession, source_file: Sequence[str], output_file: str, model: str, src_lang_code: str = "en", tgt_lang_code: str = "zh", failure_file: str | None = None, schema: str | None = None, dry_run: bool = False, max_tokens: int | None = None, **more: Any) -> None:
+    calls = _calls(more)
+    rows = _read(spark, source_file, schema, output_file, failure_file)
+    params = {} if max_tokens is None else {"max_tokens": max_tokens}
+    done, rejected = transforms.translate(sampling.dry_run(rows) if dry_run else rows, get_backend(model), src_lang_code, tgt_lang_code, calls=calls, **params)
+    _write_both(done, rejected, output_file, failure_file)
 
 
 @task("analyze")
