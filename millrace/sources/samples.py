@@ -82,26 +82,27 @@ def write_jsonl(samples: DataFrame, path: str) -> None:
     to_json(samples).orderBy("pos").select(F.col("raw").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_json_array(samples: DataFrame, path: str, indent: int = 4) -> None:
-    """Canonical rows as one JSON array in a file of any file system, in order, letters kept as they are; rows come one partition at a time."""
+def write_json_array(samples: DataFrame, path: str, indent: int = 4) -> int:
+    """Canonical rows as one JSON array in a file of any file system, in order, letters kept as they are; rows come one partition at a time. Returns their number."""
     import json
 
     spark = samples.sparkSession
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.setWriteChecksum(False)
-    out, held, some = fs.create(at, True), bytearray(b"["), False
+    out, held, n = fs.create(at, True), bytearray(b"["), 0
     try:
         for r in to_json(samples).orderBy("pos").toLocalIterator():
             body = json.dumps(json.loads(r["raw"]), indent=indent, ensure_ascii=False).replace("\n", "\n" + " " * indent)
-            held += (("," if some else "") + "\n" + " " * indent + body).encode("utf-8", "surrogatepass")
-            some = True
+            held += (("," if n else "") + "\n" + " " * indent + body).encode("utf-8", "surrogatepass")
+            n += 1
             if len(held) > 1 << 20:
                 out.write(bytes(held))
                 held.clear()
-        out.write(bytes(held) + (b"\n]" if some else b"]"))
+        out.write(bytes(held) + (b"\n]" if n else b"]"))
     finally:
         out.close()
+    return n
 
 
 def check_paths(spark: SparkSession, sources: Sequence[str] = (), outputs: Sequence[str] = ()) -> None:

@@ -28,14 +28,16 @@ def task(name: str):
     return add
 
 
-def write(df: DataFrame, path: str) -> None:
-    """By suffix: ``.json`` one array, ``.jsonl`` lines, else Parquet."""
+def write(df: DataFrame, path: str) -> int:
+    """By suffix: ``.json`` one array, ``.jsonl`` lines, else Parquet. The number of rows written is seen on the way."""
     if path.endswith(".json"):
-        S.write_json_array(df, path)
-    elif path.endswith(".jsonl"):
+        return S.write_json_array(df, path)
+    df, seen = stats.counted(df)
+    if path.endswith(".jsonl"):
         S.write_jsonl(df, path)
     else:
         df.write.mode("overwrite").parquet(path)
+    return seen.get["n"]
 
 
 def _read(spark: SparkSession, paths: Sequence[str], schema: str | None = None, *outputs: str | None) -> DataFrame:
@@ -90,9 +92,8 @@ def sort(spark: SparkSession, source_file: Sequence[str], output_file: str, key:
 
 @task("filter")
 def filter_(spark: SparkSession, source_file: Sequence[str], output_file: str, filter_function: str, partial_kwargs: dict[str, Any] | None = None, dry_run: bool = False, schema: str | None = None, **_: Any) -> None:
-    kept, seen = stats.counted(filters.filter_samples(_read(spark, source_file, schema, output_file), filter_function, dry_run, **(partial_kwargs or {})), "kept")
-    write(kept, output_file)
-    log.info("filtered by %s into %s: %d rows kept", filter_function, output_file, seen.get["n"])
+    kept = write(filters.filter_samples(_read(spark, source_file, schema, output_file), filter_function, dry_run, **(partial_kwargs or {})), output_file)
+    log.info("filtered by %s into %s: %d rows kept", filter_function, output_file, kept)
 
 
 @task("dedup")
@@ -138,13 +139,9 @@ def generate(spark: SparkSession, source_file: Sequence[str], output_file: str,
 
 
 def _write_both(done: DataFrame, rejected: DataFrame, output_file: str, failure_file: str | None) -> None:
-    done, good = stats.counted(done, "done")
-    write(done, output_file)
-    log.info("%d rows done, into %s", good.get["n"], output_file)
+    log.info("%d rows done, into %s", write(done, output_file), output_file)
     if failure_file:
-        rejected, bad = stats.counted(rejected, "rejected")
-        write(rejected, failure_file)
-        log.info("%d rows rejected, into %s", bad.get["n"], failure_file)
+        log.info("%d rows rejected, into %s", write(rejected, failure_file), failure_file)
 
 
 @task("translate")
