@@ -60,7 +60,7 @@ def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int = BI
 
 
 def train(texts: pa.Array, langs: list[str], bits: int = BITS) -> LanguageModel:
-    """Interpolated n-gram estimates by language. No labelled rows give a model of no language."""
+    """Counts of n-grams and of their contexts by language, smoothed by adding constants. No labelled rows give a model of no language."""
     names = tuple(sorted(set(langs)))
     of = np.array([names.index(x) for x in langs], np.int64)
     n, m = np.zeros((1 << bits, len(names))), np.zeros((1 << bits, len(names)))

@@ -1,6 +1,6 @@
 """Quality rules: hashed n-gram logistic regression, calibrated, scored in Arrow batches.
 
-Features are hashed words and character n-grams of the text as it is (upper case and marks tell much
+Features are hashed words, pairs of words in a row, and character n-grams of the text as it is (upper case and marks tell much
 about quality), each kind averaged over the document. The model is fitted on a bounded sample of the
 labelled rows; everything else covers all documents.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import blocks, document_sums, release, word_hashes
+from .textvec import blocks, document_sums, release, shingles, word_hashes
 
 BITS = 18
 GRAMS = (3, 5)
@@ -41,9 +41,11 @@ class QualityModel:
 
 
 def indices(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For words and for each length of character n-grams: hashed features, and bounds by document."""
+    """For words, for pairs of words, and for each length of character n-grams: hashed features, and bounds by document. A document of one word has it as its only pair."""
     h, bounds = word_hashes(data, offsets)
     yield (h >> np.uint64(64 - bits)).astype(np.int64), bounds
+    pairs, of_pairs = shingles(h, bounds, 2)
+    yield (pairs >> np.uint64(64 - bits)).astype(np.int64), of_pairs
     d = data.astype(np.uint32) + np.uint32(1)
     for n in GRAMS:
         m = max(len(d) - n + 1, 0)
@@ -68,7 +70,7 @@ def margins(texts, model: QualityModel) -> tuple[np.ndarray, np.ndarray]:
     out, some = [], []
     for _, _, data, offsets in blocks(texts, lower=False):
         total, any_ = np.full(len(offsets) - 1, model.bias), np.zeros(len(offsets) - 1, bool)
-        for w, (index, bounds) in zip(model.weights, indices(data, offsets)):
+        for w, (index, bounds) in zip(model.weights, indices(data, offsets, model.weights.shape[1].bit_length() - 1)):
             count = np.diff(bounds)
             total += document_sums(w[index], bounds) / (count + SMOOTH)
             any_ |= count > 0
@@ -78,13 +80,13 @@ def margins(texts, model: QualityModel) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: pa.Array, good: np.ndarray, bits: int = BITS, epochs: int = 12, seed: int = 7) -> QualityModel:
-    """Fits the regression by mini-batch Adam on three quarters of the rows and calibrates its margin on the rest.
+    """Fits the regression by mini-batches, each weight at a rate of its own (AdaGrad), on three quarters of the rows and calibrates its margin on the rest.
 
     Rows come in a fixed order, so the same rows give the same model. No rows, or rows of one class
     only, give a constant model of the smoothed share of good rows.
     """
     good = np.asarray(good, float)
-    kinds = 1 + len(GRAMS)
+    kinds = 2 + len(GRAMS)
     weights = np.zeros((kinds, 1 << bits), np.float32)
     if len(good) < 8 or good.min() == good.max():
         p = (good.sum() + 1) / (len(good) + 2)

@@ -359,7 +359,7 @@ def test_language_cases(spark, model):
 # -- pipeline
 
 
-def test_pipeline_against_its_parts(spark, sf):
+def test_pipeline_against_its_parts(spark, sf, encoding):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
     good = quality.fit_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
@@ -376,7 +376,7 @@ def test_pipeline_against_its_parts(spark, sf):
     placed = {}
     for r in got.collect():
         placed[r.doc_id] = placed.get(r.doc_id, 0) + r.length
-    assert placed == {i: len(rows[i].split()) + 1 for i in kept if i not in gone}
+    assert placed == {i: len(encoding.encode_ordinary(rows[i])) + 1 for i in kept if i not in gone}
 
 
 def test_stages_take_anything(spark, tmp_path):
