@@ -36,6 +36,6 @@ def parse_label(labels: tuple[str, ...], name: str):
     def parse(answers: pd.Series) -> pd.Series:
         found = answers.str.extract(rf"(?s)\A(?:.*)\n{name}: (.*)", expand=False)
         known = {a: closest(a, labels) for a in found.dropna().unique()}
-        return found.map(known)
+        return pd.Series([known.get(a) if isinstance(a, str) else None for a in found], dtype=object)
 
     return parse
