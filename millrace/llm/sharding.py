@@ -57,8 +57,8 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def place(rows: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS, slot_name: str = "slot", shard_name: str = "shard") -> DataFrame:
     """``rows`` with the slot and the shard of each, through a broadcast of the table, whose size doesn't depend on the rows.
 
-    A null key is placed like an empty one; equal keys go to one shard; no rows give no rows. Columns
-    that already have the new names are replaced.
+    A null key is placed like an empty one; equal keys go to one shard; keys of any length are hashed in
+    whole; no rows give no rows. All other columns stay; those that already have the new names are replaced.
     """
     spark = rows.sparkSession
     table = fill_table(shards, slots)
@@ -72,9 +72,8 @@ def place(rows: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    """The shard of every document, by doc_id."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return place(docs.select("doc_id", "source", "n_chars"), "doc_id")
+    """Every document, with its text and all else, and its shard, by doc_id."""
+    return place(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 QUERIES: dict[str, Callable] = {"op3_sharding": op3}

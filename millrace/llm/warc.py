@@ -53,8 +53,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     Nulls: a record without url or time neither resolves nor is referred to; one without record_id takes
     part like any other and loses ties; null headers are none. Repeated revisits give a row each. A
-    response fetched at the revisit's own time isn't earlier. No rows give no rows. Other columns
-    aren't read; payloads themselves don't travel, only digest and length.
+    response fetched at the revisit's own time isn't earlier. URLs and headers of any length count in
+    whole. No rows give no rows. Other columns aren't read; payloads themselves don't travel, only digest and length.
     """
     short = records.select("record_id", "kind", "url", F.col("fetched").cast("timestamp").alias("fetched"), F.col("status").cast("int").alias("status"), "headers", "payload_digest", F.col("payload_length").cast("long").alias("payload_length"))
     short = short.where("kind = 'revisit' or (kind = 'response' and status = 200 and url is not null and fetched is not null)")

@@ -100,6 +100,13 @@ def test_threshold_is_kept():
     assert quality.margins(pa.array(["a b"]), model)[0].tolist() == [0] and model.probability(np.zeros(1))[0] == quality.KEEP
 
 
+def test_equal_languages_go_to_the_first():
+    one = language.train(pa.array(["the cat sat on the mat"]), ["a"], bits=12)
+    model = language.LanguageModel(("a", "b"), np.repeat(one.grams, 2, 1), np.repeat(one.contexts, 2, 1))
+    shares, _ = language.identify(pa.array(["the cat sat on the mat"]), model)
+    assert shares.tolist() == [[1, 0, 0]]
+
+
 def words_of(text):
     return re.findall(rb"[A-Za-z\x80-\xff]+", text.lower().encode())
 

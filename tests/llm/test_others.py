@@ -136,6 +136,9 @@ def test_sharding(spark, sf):
     got = sharding.place(odd, "k").collect()
     assert len(got) == 4 and len({r.shard for r in got if not r.k}) == 1 and len({r.shard for r in got if r.k}) == 1
     assert sharding.place(odd.limit(0), "k").count() == 0
+    assert {"text", "lang"} < set(rows[0].asDict()) and {r.doc_id: r.text for r in rows} == {r.doc_id: r.text for r in docs.collect()}
+    long = spark.createDataFrame([("k" * 200_000 + x,) for x in "ab"], "k string")
+    assert [r.slot for r in sharding.place(long, "k").collect()] == [int(hashlib.md5(("k" * 200_000 + x).encode()).hexdigest()[:15], 16) % sharding.SLOTS for x in "ab"]
 
 
 def test_url_filter(spark):
@@ -188,6 +191,10 @@ def test_warc(spark):
     assert {k: (r.outcome, r.refers_to) for k, r in by.items()} == {"v1": ("resolved", "r1"), "v2": ("resolved", "r1"), "v3": ("validator_mismatch", "r2"), "v4": ("no_earlier_response", None), "v5": ("resolved", "r5"), "v6": ("no_validator", "r5"), "v7": ("no_earlier_response", None), "v8": ("no_earlier_response", None)}
     assert by["v1"].headers == 'date: d2\netag: W/"1"\nserver: s' and by["v1"].payload_digest == "p1" and by["v3"].payload_length == 0
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+    url, tag = "http://long.com/" + "a" * 50_000, 'ETag: "' + "e" * 50_000 + '"'
+    long = spark.createDataFrame([("r", "response", url, at(1), 200, tag + "\r\nX: " + "y" * 100_000, "p", 1), ("v", "revisit", url + "#f", at(2), 304, tag, None, None), ("w", "revisit", url + "b", at(2), 304, tag, None, None)], kind)
+    got = {r.record_id: r for r in warc.resolve_revisits(long).collect()}
+    assert got["v"].outcome == "resolved" and len(got["v"].headers) > 150_000 and got["w"].outcome == "no_earlier_response"
 
 
 def brute_pack(lengths, capacity):
