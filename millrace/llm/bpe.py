@@ -34,6 +34,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 HEAD = 1 << 20  # at most this, for the numbers of words travel in one to three bytes
 _FLUSH = 200_000
 _KNOWN = 1 << 20
+_ROWS = 2048
 _made: dict[int, tiktoken.Encoding] = {}
 _sizes: dict[int, dict[str, int]] = {}
 
@@ -98,6 +99,7 @@ def encode_words(words: DataFrame, ranks, kind: type = np.int32) -> DataFrame:
         for batch in batches:
             ids = [np.array(encode(w.encode()), kind).tobytes() for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+        _made.clear()  # tasks after this one need the memory
         release()
 
     return words.mapInArrow(run, "word string, n long, ids binary")
@@ -302,11 +304,13 @@ def piece_table(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, row): those of a batch, whose first column is ``ids``, without an id, and behind them its distinct ids without a row."""
-    for batch in batches:
-        rows = pa.StructArray.from_arrays(batch.columns, batch.schema.names)
-        wanted = batch.column(0).flatten().unique().drop_null()
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), rows], ["id", "row"])
-        yield pa.RecordBatch.from_arrays([wanted, pa.nulls(len(wanted), rows.type)], ["id", "row"])
+    for whole in batches:
+        for at in range(0, len(whole), _ROWS):  # what is put together holds as many rows
+            batch = whole.slice(at, _ROWS)
+            rows = pa.StructArray.from_arrays(batch.columns, batch.schema.names)
+            wanted = batch.column(0).flatten().unique().drop_null()
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), rows], ["id", "row"])
+            yield pa.RecordBatch.from_arrays([wanted, pa.nulls(len(wanted), rows.type)], ["id", "row"])
     release()
 
 
@@ -322,7 +326,7 @@ def joined(held: list[pa.RecordBatch], others: int) -> Iterator[pa.RecordBatch]:
     at = 0
     bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
     while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 20), side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 18), side="right")) - 1)
         part = rows.slice(at, to - at)
         own = part.field("ids")
         where = pc.fill_null(pc.index_in(own.flatten(), given.column("id").combine_chunks()), len(pieces) - 1)
