@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import tiktoken
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ HEAD = 1 << 20  # at most this, for the numbers of words travel in one to three
 _FLUSH = 200_000
 _KNOWN = 1 << 20
 _ROWS = 2048
+_QUICK = 1 << 16
 _made: dict[int, tiktoken.Encoding] = {}
 _sizes: dict[int, dict[str, int]] = {}
 
@@ -118,6 +120,31 @@ def frequent(table: DataFrame, most: int = HEAD) -> tuple[DataFrame, DataFrame]:
     return table.where(kind >= cut), table.where(kind < cut)
 
 
+class WordNumbers:
+    """Numbers of ``words``, from 1 on, in some 30 bytes a word: only the first ``quick`` are in a dictionary, all others are found by hash and compared."""
+
+    def __init__(self, words: pa.Array, quick: int = _QUICK, hash_of: Callable[[str], int] = xxhash.xxh3_64_intdigest):
+        h = np.fromiter((hash_of(w.as_py()) for w in words), np.uint64, len(words))
+        order = np.argsort(h)
+        self.words, self.hash_of, self.hashes, self.places = words, hash_of, h[order], order.astype(np.uint32)
+        same = np.flatnonzero(self.hashes[1:] == self.hashes[:-1])
+        # words that share a hash can't be told by it
+        own = np.union1d(np.arange(min(quick, len(words))), order[np.union1d(same, same + 1)])
+        self.quick = dict(zip(words.take(pa.array(own, pa.int64())).to_pylist(), (own + 1).tolist()))
+
+    def find(self, asked: list[str]) -> np.ndarray:
+        """Numbers of words that aren't in ``quick``, 0 for those that aren't there at all."""
+        out = np.zeros(len(asked), np.int64)
+        if len(self.hashes):
+            h = np.fromiter(map(self.hash_of, asked), np.uint64, len(asked))
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            near = np.flatnonzero(self.hashes[at] == h)
+            place = self.places[at[near]]
+            same = pc.equal(self.words.take(pa.array(place)), pa.array([asked[k] for k in near], self.words.type)).to_numpy(zero_copy_only=False)
+            out[near[same]] = place[same].astype(np.int64) + 1
+        return out
+
+
 _ONE, _TWO = 192, 192 + 48 * 256
 
 
@@ -187,28 +214,37 @@ def _encoding_plan(docs: DataFrame, vocabulary: str, head: int) -> tuple[DataFra
     known = top.select("word", "ids", "n").toArrow()  # at most `head` words
     # frequent words get small numbers, which take little room when they travel
     order = np.lexsort((known.column("word").to_numpy(), -known.column("n").to_numpy())) if len(known) else np.zeros(0, np.int64)
-    words = known.column("word").take(pa.array(order)).to_pylist()
+    words = pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in known.column("word").take(pa.array(order)).chunks)])
     bodies = known.column("ids").take(pa.array(order)).to_pylist()
     # number 0 is a gap, without ids of its own
     starts = np.cumsum([0, 0, *(len(b) // narrow().itemsize for b in bodies)])
-    numbers = spark.sparkContext.broadcast({w: k for k, w in enumerate(words, 1)})
+    numbers = spark.sparkContext.broadcast(WordNumbers(words))
     pieces = spark.sparkContext.broadcast((starts, np.frombuffer(b"".join(bodies), narrow)))
     del known, words, bodies
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, get = splitter(), numbers.value.get
+        split, get, find = splitter(), numbers.value.quick.get, numbers.value.find
         pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
-        for batch in batches:
-            bodies = []
-            for text in batch.column(3):
-                text = text.as_py()
-                if text is None:
-                    bodies.append(None)
-                    continue
-                words = split(text)
-                code = np.array([get(w, 0) for w in words], np.int64)
-                bodies.append(pack(pack_numbers(code, [words[k] for k in np.flatnonzero(code == 0)])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(bodies, pa.binary())], ["key", "own", "doc", "body"])
+        for whole in batches:
+            for at in range(0, len(whole), _ROWS):
+                batch = whole.slice(at, _ROWS)
+                coded: list = []
+                for text in batch.column(3):
+                    words = split(text.as_py()) if text.is_valid else []
+                    code = np.array([get(w, 0) for w in words], np.int32)
+                    gaps = np.flatnonzero(code == 0)
+                    coded.append((code, gaps, [words[k] for k in gaps]) if text.is_valid else None)
+                asked = list({w for c in coded if c for w in c[2]})
+                found = dict(zip(asked, find(asked).tolist()))
+                bodies = []
+                for c in coded:
+                    if c:
+                        code, gaps, missing = c
+                        code[gaps] = [found[w] for w in missing]
+                        bodies.append(pack(pack_numbers(code.astype(np.int64), [w for w in missing if not found[w]])))
+                    else:
+                        bodies.append(None)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(bodies, pa.binary())], ["key", "own", "doc", "body"])
         release()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

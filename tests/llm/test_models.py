@@ -1,5 +1,8 @@
 """Media, BPE, quality, language, and the pipeline."""
 
+import pickle
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -247,6 +250,29 @@ def test_number_packing():
     assert bpe.unpack_numbers(bpe.pack_numbers(code[:0], []))[0].tolist() == []
 
 
+@pytest.mark.parametrize("hash_of", [bpe.xxhash.xxh3_64_intdigest, len], ids=["hash", "clashes"])
+def test_word_numbers_are_exact(hash_of):
+    words = [f"{a}{k}" for k in range(3000) for a in ("", " é")]
+    for quick in (0, 7, 1 << 16):
+        got = pickle.loads(pickle.dumps(bpe.WordNumbers(pa.array(words), quick, hash_of)))
+        there = words + ["none", "", "3000"]
+        rest = [w for w in there if w not in got.quick]
+        assert {**got.quick, **dict(zip(rest, got.find(rest).tolist()))} == {w: words.index(w) + 1 if w in words else 0 for w in there}
+    assert bpe.WordNumbers(pa.array([], pa.string())).find(["a"]).tolist() == [0] and bpe.WordNumbers(pa.array(words)).find([]).tolist() == []
+
+
+def test_word_numbers_take_little_memory():
+    """A dictionary of words takes over 100 bytes a word, in each worker."""
+    words = pa.array([f" word{k}" for k in range(200_000)])
+    body = pickle.dumps(bpe.WordNumbers(words, 1000))
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    held = pickle.loads(body)
+    taken = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert len(held.words) == 200_000 and taken < 60 * 200_000
+
+
 # -- quality
 
 
