@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import detect_schema, to_canonical
+from .shared import written
 
 
 def _suffix(path: str) -> str:
@@ -28,17 +29,26 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
         return whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "raw")).select(F.col("pos").cast("long").alias("pos"), "raw")
     if kind != "jsonl":
         raise ValueError(f"neither .json nor .jsonl: {path}")
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    lines = lines.select(F.col("value").alias("raw"), F.monotonically_increasing_id().alias("at")).withColumn("part", F.shiftright("at", 33))
-    before = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
-    return lines.withColumn("k", within).join(before, "part").select((F.col("before") + F.col("k")).cast("long").alias("pos"), "raw")
+    # splits are written with their lines: planned twice, a file could be cut at other places than those that were counted
+    lines = written(_lines(spark, path), "lines")
+    before = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = before.select("file", "start", "first", F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # there is one row a split to broadcast
+    return lines.join(F.broadcast(before), ["file", "start"]).select((F.col("before") + F.col("at") - F.col("first")).cast("long").alias("pos"), "raw")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(raw, file, start, at): lines that aren't blank, with their file, the byte at which their split of it begins, and a number that counts up by one within a split. Spark orders splits by size, not by place."""
+    lines = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return lines.where(F.trim("raw") != "").withColumn("at", F.monotonically_increasing_id())
 
 
 def first_sample(spark: SparkSession, path: str) -> str:
     """The first sample of a file as JSON; StopIteration if it has none."""
-    got = read_raw(spark, path).orderBy("pos").limit(1).collect()
+    if _suffix(path) == "jsonl":
+        got = _lines(spark, path).orderBy("file", "start", "at").limit(1).collect()
+    else:
+        got = read_raw(spark, path).orderBy("pos").limit(1).collect()
     if not got:
         raise StopIteration(path)
     return got[0]["raw"]

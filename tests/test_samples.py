@@ -136,3 +136,21 @@ def test_split_sizes(spark, n, ratios, sizes):
 def test_parts_cover(n, ratios):
     bounds = sampling.part_bounds(n, ratios)
     assert bounds[0][0] == 0 and bounds[-1][1] == n and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:])) and all(a <= b for a, b in bounds)
+
+
+def test_lines_keep_the_order_of_their_files(spark, tmp_path):
+    """Spark reads large splits first; positions go by file and by place within it."""
+    folder, n = tmp_path / "many.jsonl", 0
+    folder.mkdir()
+    for k in range(6):
+        lines = [json.dumps({"n": n + j, "x": "y" * 900}) for j in range(1 + 40 * k)]
+        (folder / f"part-{k:05d}.txt").write_text("\n\n".join(lines) + "\n")
+        n += len(lines)
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = S.read_raw(spark, str(folder)).orderBy("pos").collect()
+        assert [(r.pos, json.loads(r.raw)["n"]) for r in got] == [(k, k) for k in range(n)]
+        assert json.loads(S.first_sample(spark, str(folder)))["n"] == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
