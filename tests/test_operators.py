@@ -68,6 +68,36 @@ def test_jaccard_against_brute_force(spark):
     assert kept(dedup.jaccard_similarity(df, df, threshold=0.99)) == [k for k, x in enumerate(sets) if not x]
 
 
+def test_jaccard_in_blocks(spark, monkeypatch):
+    """Sets of many sizes that all share words: blocks of few words, and nearly no pairs written but those above the threshold."""
+    r = random.Random(6)
+    base = [[f"w{int(r.paretovariate(0.7))}" for _ in range(r.choice((3, 8, 40, 41, 150)))] for _ in range(120)]
+    texts = [" ".join(w if r.random() > 0.1 else f"x{r.random()}" for w in b) for b in base for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets, seen = [set(t.split()) for t in texts], {}
+    write = dedup.written
+
+    def keep(d, name):
+        seen[name] = write(d, name)
+        return seen[name]
+
+    monkeypatch.setattr(dedup, "written", keep)
+    monkeypatch.setattr(dedup, "BLOCK_WORDS", 700)
+    monkeypatch.setattr(dedup, "TUPLES", 500)
+    for t in (0.4, 0.7):
+        seen.clear()
+        want = {(a, b): len(x & y) / len(x | y) for a, x in enumerate(sets) for b, y in enumerate(sets) if a != b and len(x & y) / len(x | y) > t}
+        got = {(p.a, p.b): p.similarity for p in dedup.jaccard_pairs(df, threshold=t).collect()}
+        assert got == pytest.approx(want) and len(want) > 50
+        assert seen["near"].count() <= len(want)
+    for words in (0, dedup.SMALL_WORDS):
+        monkeypatch.setattr(dedup, "SMALL_WORDS", words)
+        seen.clear()
+        left = kept(dedup.jaccard_similarity(df, df.where("id % 3 = 0"), threshold=0.4))
+        assert left == [a for a, x in enumerate(sets) if not any(len(x & y) / len(x | y) > 0.4 for y in sets[::3])]
+        assert ("near" in seen) == (words == 0)
+
+
 def test_statistics(spark):
     df = conv(spark, [("human", "a"), ("assistant", "b")], [("system", "s"), ("user", "a"), ("user", "b")])
     assert {r.rounds: r.n for r in stats.rounds_histogram(df).collect()} == {1: 1, 2: 1}
