@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from ..registry import dedup
 from ..sources.shared import written
 
-BLOCK = 2048
+#: Rows of vectors in a block at most, in one that is made for more tasks at least, and on a side of a tile.
+ROWS, BLOCK, TILE = 1 << 15, 2048, 512
 #: Slots of the table that orders words; words of a reference that go to all tasks; blocks of sets by size, and the words of the largest; rows in memory while two blocks are compared.
 SLOTS, SMALL_WORDS, BLOCKS, BLOCK_WORDS, TUPLES = 1 << 20, 1 << 21, 16, 1 << 25, 1 << 22
 
@@ -23,63 +25,182 @@ def exact_match(source: DataFrame, reference: DataFrame, text: str = "text", ref
     return source.withColumn("_digest", F.sha2(F.col(text), 256)).join(ref, "_digest", "left_anti").drop("_digest")
 
 
-def _blocks(df: DataFrame, key: str, vector: str, rows: int, names: tuple[str, str]) -> DataFrame:
-    n = max(1, -(-df.count() // rows))
-    one = F.struct(F.col(key).cast("long").alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    return df.where(F.col(vector).isNotNull()).groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(names[0])).agg(F.collect_list(one).alias(names[1]))
+def _cells(source: DataFrame, reference: DataFrame | None, key: str, vector: str, rows: int, compare: Callable[[_Side, _Side, bool], dict], schema: str) -> DataFrame:
+    """What ``compare`` gives for each two blocks of at most about ``rows`` rows, by hash of key: a side of each, and whether they are one block.
 
+    Without a reference the source is its own, and two blocks meet once. A row is sent once for each block
+    that its own meets; a task holds two blocks, and scores them tile by tile.
+    """
+    own = reference is None
+    many = source.sparkSession.sparkContext.defaultParallelism
 
-def _matrix(cell) -> tuple[np.ndarray, np.ndarray]:
-    flat = cell.values
-    ids = flat.field("i").to_numpy()
-    vectors = flat.field("v")
-    return ids, vectors.flatten().to_numpy().reshape(len(ids), -1)
+    def number(df: DataFrame) -> int:
+        n = df.where(F.col(vector).isNotNull()).count()
+        # some cells for each core, unless blocks would be less than a few tiles
+        return max(1, -(-n // rows), min(int((4 * many) ** 0.5) + 1, n // BLOCK))
 
+    def side(df: DataFrame, k: int, blocks: int, cells: Callable[[Column], Column]) -> DataFrame:
+        kind = df.schema[vector].dataType.elementType.simpleString()
+        v = F.col(vector) if kind == "float" else F.transform(vector, lambda x: x.cast("double"))
+        made = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
+        return made.select(F.explode(cells(F.col("block"))).alias("cell"), F.lit(k).alias("side"), "block", "id", "v")
 
-def _similar(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
+    m = number(source)
+    n = m if own else number(reference)
+    if own:
+        sent = side(source, 0, m, lambda b: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda c: F.least(b, c) * m + F.greatest(b, c)))
+    else:
+        sent = side(source, 0, m, lambda b: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: b * n + c))
+        other = side(reference, 1, n, lambda b: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda c: c * n + b))
+        sent = sent.withColumn("v", F.col("v").cast("array<double>")).union(other.withColumn("v", F.col("v").cast("array<double>")))
+
+    def run(cell: pa.Table) -> pa.Table:
+        i, j = divmod(cell.column("cell")[0].as_py(), n)
+        block, which = cell.column("block").to_numpy(), cell.column("side").to_numpy()
+        x = _Side(cell, np.flatnonzero(block == i) if own else np.flatnonzero(which == 0))
+        y = x if own and i == j else _Side(cell, np.flatnonzero(block == j) if own else np.flatnonzero(which == 1))
+        if not len(x.ids) or not len(y.ids):
+            return pa.table({k: pa.array([], t) for k, t in types.items()})
+        return pa.table({k: pa.array(v, types[k]) for k, v in compare(x, y, x is y).items()})
+
+    types = {name: {"long": pa.int64(), "double": pa.float64()}[kind] for name, kind in (one.split() for one in schema.split(", "))}
+    # a number given isn't made less: a cell of few bytes has much to compare
+    return sent.repartition(max(1, min(m * (m + 1) // 2 if own else m * n, 4096)), "cell").groupBy("cell").applyInArrow(run, schema)
+
+
+class _Side:
+    """Ids and vectors of a block's rows, by id."""
+
+    def __init__(self, cell: pa.Table, rows: np.ndarray) -> None:
+        ids = cell.column("id").to_numpy()[rows]
+        order = np.argsort(ids, kind="stable")
+        self.ids, rows = ids[order], rows[order]
+        v = cell.column("v").combine_chunks()
+        width = len(v[0]) if len(v) else 0
+        if len(v) * width != len(v.flatten()):
+            raise ValueError("vectors of several lengths")
+        self.vectors = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), width)[rows].astype(np.float64)
+
+    def usable(self, measure: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of rows that have scores, and their vectors, of length 1 for cosines."""
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            norm = np.linalg.norm(self.vectors, axis=1)
+            at = np.flatnonzero(np.isfinite(norm) & ((norm > 0) | (measure == "l2")))
+            return at, self.vectors[at] if measure == "l2" else self.vectors[at] / norm[at, None]
+
+
+def _tiles(x: np.ndarray, y: np.ndarray, ids: np.ndarray, others: np.ndarray, one: bool, measure: str) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray | None]]:
+    """(rows, columns, scores, which are of one id) of tiles that stay in a core's cache, in order; of one block only those on and above the diagonal. Cosines, or squares of distances."""
     if measure == "l2":
-        return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+        middle = y.mean(0)  # far from the origin squares would cancel
+        x, y = x - middle, y - middle
+        u = np.c_[-2 * x, (x * x).sum(1), np.ones(len(x))]
+        v = np.c_[y, np.ones(len(y)), (y * y).sum(1)]
+    else:
+        u, v = x, y
+    repeated = one and len(np.unique(ids)) < len(ids)
+    held = np.empty(TILE * TILE)
+    for r in range(0, len(u), TILE):
+        for c in range(r if one else 0, len(v), TILE):
+            rows, columns = slice(r, min(r + TILE, len(u))), slice(c, min(c + TILE, len(v)))
+            m, n = rows.stop - r, columns.stop - c
+            s = np.matmul(u[rows], v[columns].T, out=held[: m * n].reshape(m, n))
+            yield rows, columns, s, ids[rows, None] == others[columns] if one and (r == c or repeated) else None
+
+
+def _no_scores(s: np.ndarray, same: np.ndarray | None, none: float) -> np.ndarray:
+    if same is not None:
+        s[same] = none
+    return s
+
+
+def best_scores(source: DataFrame, reference: DataFrame | None = None, key: str = "id", vector: str = "embedding", measure: str = "cosine", rows: int = ROWS) -> DataFrame:
+    """(id, best): each row's best score, the greatest cosine or the least distance, its own left out; null where it has none. Every pair is scored; the score matrix is never kept."""
+    own, worst = reference is None, np.inf if measure == "l2" else -np.inf
+
+    def compare(x: _Side, y: _Side, one: bool) -> dict:
+        (i, u), (j, v) = x.usable(measure), y.usable(measure)
+        best, other = (np.full(len(i), worst), np.full(len(j), worst))
+        if one:
+            other = best
+        near, back = np.zeros(len(i), np.int64), np.zeros(len(j), np.int64)
+        if one:
+            back = near
+        for r, c, s, same in _tiles(u, v, x.ids[i], y.ids[j], one, measure):
+            s = _no_scores(s, same, worst)
+            if measure == "l2":
+                _least(s, best, near, r, c)
+                if own and not (one and r == c):
+                    _least(s.T, other, back, c, r)
+            else:
+                np.maximum(best[r], s.max(1), out=best[r])
+                if own and not (one and r == c):
+                    np.maximum(other[c], s.max(0), out=other[c])
+        sides = [(x, i, u, best, v, near)] + [(y, j, v, other, u, back)] * (own and not one)
+        ids, scores = [], []
+        for side, at, w, score, partners, of in sides:
+            whole = np.full(len(side.ids), worst)
+            # squares of distances cancel: the distance to the nearest is taken anew
+            whole[at] = np.where(np.isfinite(score), np.sqrt(((w - partners[of]) ** 2).sum(1)), worst) if measure == "l2" and len(partners) else score
+            ids.append(side.ids)
+            scores.append(whole)
+        return {"id": np.concatenate(ids), "best": np.concatenate(scores)}
+
+    pick = F.min if measure == "l2" else F.max
+    got = _cells(source, reference, key, vector, rows, compare, "id long, best double").groupBy("id").agg(pick("best").alias("best"))
+    return got.select("id", F.when(F.abs("best") < float("inf"), F.col("best")).alias("best"))
+
+
+def _least(s: np.ndarray, best: np.ndarray, near: np.ndarray, rows: slice, columns: slice) -> None:
+    """Takes each row's least of a tile, and its column, where less than before."""
+    least = s.min(1)
+    less = np.flatnonzero(least < best[rows])
+    best[rows][less] = least[less]
+    near[rows][less] = columns.start + s[less].argmin(1)
 
 
-def block_scores(source: DataFrame, reference: DataFrame | None = None, key: str = "id", vector: str = "embedding", measure: str = "cosine", rows: int = BLOCK) -> DataFrame:
-    """(id, best, n, total, squares, high, low) for rows against blocks: each source row's best score, and for one row of each pair of blocks the sums over all its pairs.
+def score_moments(source: DataFrame, reference: DataFrame | None = None, key: str = "id", vector: str = "embedding", rows: int = ROWS) -> DataFrame:
+    """(n, total, squares, high, low), one row: number, sum, sum of squares, greatest and least of the cosines of all pairs. Those of a row with itself count as 0; zero vectors have none.
 
-    Every pair is scored, by matrix products of blocks; the score matrix is never kept. Without a
-    reference the source is its own, and a row's score with itself counts as 0 and isn't its best.
-    ``best`` is the greatest cosine, or the least distance; a zero vector has none.
+    Sums need no pairs: they are those of the sum of all unit vectors and of their products by component.
     """
     own = reference is None
-    left = _blocks(source, key, vector, rows, ("a", "x"))
-    right = _blocks(source if own else reference, key, vector, rows, ("b", "y"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                ids, u = _matrix(batch.column(1)[k])
-                others, v = _matrix(batch.column(3)[k])
-                s = _similar(u, v, measure)
-                same = (ids[:, None] == others) if own else np.zeros(s.shape, bool)
-                flat = np.where(same, 0.0, s)
-                if measure == "l2":
-                    best = np.where(same | np.isnan(s), np.inf, s).min(1)
-                else:
-                    best = np.where(same | np.isnan(s), -np.inf, s).max(1)
-                n = len(ids)
-                first = lambda x: pa.array([float(x)] + [None] * (n - 1), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best), first(s.size), first(np.nansum(flat)), first(np.nansum(flat * flat)), first(np.nanmax(flat)), first(np.nanmin(flat))], ["id", "best", "n", "total", "squares", "high", "low"])
-
-    # each side is a few rows of blocks; Spark takes a product of them in parallel
-    pairs = left.repartition(left.sparkSession.sparkContext.defaultParallelism).crossJoin(right).select("a", "x", "b", "y")
-    return pairs.mapInArrow(run, "id long, best double, n double, total double, squares double, high double, low double")
-
-
-def best_scores(source: DataFrame, reference: DataFrame | None = None, key: str = "id", vector: str = "embedding", measure: str = "cosine", rows: int = BLOCK) -> DataFrame:
-    """(id, best): each row's best score; null where it has none."""
-    pick = F.min if measure == "l2" else F.max
-    got = block_scores(source, reference, key, vector, measure, rows).groupBy("id").agg(pick("best").alias("best"))
-    return got.select("id", F.when(F.abs("best") < float("inf"), F.col("best")).alias("best"))
+    def extremes(x: _Side, y: _Side, one: bool) -> dict:
+        (i, u), (j, v) = x.usable("cosine"), y.usable("cosine")
+        high, low, total, squares = -np.inf, np.inf, 0.0, 0.0
+        for r, c, s, same in _tiles(u, v, x.ids[i], y.ids[j], one, "cosine"):
+            if same is not None:
+                times = 1 if r == c else 2  # of two tiles on both sides of the diagonal one is seen
+                total, squares = total + times * s[same].sum(), squares + times * (s[same] ** 2).sum()
+            s = _no_scores(s, same, 0.0)
+            high, low = max(high, s.max()), min(low, s.min())
+        return {"high": [max(high, 0.0) if one else high], "low": [min(low, 0.0) if one else low], "total": [total], "squares": [squares]}
+
+    def moments(df: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, gram = 0, None
+            for batch in batches:
+                side = _Side(pa.table({"id": np.zeros(len(batch), np.int64), "v": batch.column(0)}), np.arange(len(batch)))
+                n += len(side.ids)
+                u = side.usable("cosine")[1]
+                u = np.c_[u, np.ones(len(u))]
+                gram = u.T @ u if gram is None else gram + u.T @ u
+            if gram is not None:
+                gram[-1, -1] = n  # of all rows, zero vectors too
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(gram.size)), pa.array(np.repeat(np.arange(len(gram)) == len(gram) - 1, len(gram)).astype(np.int64)), pa.array(np.tile(np.arange(len(gram)) == len(gram) - 1, len(gram)).astype(np.int64)), pa.array(gram.ravel())], ["at", "i", "j", "x"])
+
+        v = df.where(F.col(vector).isNotNull()).select(F.transform(vector, lambda x: x.cast("double")).alias("v"))
+        return v.mapInArrow(run, "at long, i long, j long, x double").groupBy("at", "i", "j").agg(F.sum("x").alias("x"))
+
+    a = moments(source)
+    b = a.select("at", F.col("x").alias("y")) if own else moments(reference).select("at", F.col("x").alias("y"))
+    product = F.col("x") * F.col("y")
+    sums = a.join(b, "at").agg(F.sum(F.when((F.col("i") == 1) & (F.col("j") == 1), product)).alias("n"), F.sum(F.when((F.col("i") == 1) & (F.col("j") == 0), product)).alias("total"), F.sum(F.when((F.col("i") == 0) & (F.col("j") == 0), product)).alias("squares"))
+    seen = _cells(source, reference, key, vector, rows, extremes, "high double, low double, total double, squares double")
+    seen = seen.agg(F.max("high").alias("high"), F.min("low").alias("low"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("t"), F.coalesce(F.sum("squares"), F.lit(0.0)).alias("q"))
+    some = lambda c: F.when(F.abs(c) < float("inf"), F.col(c)).alias(c)
+    return sums.crossJoin(seen).select("n", (F.col("total") - F.col("t")).alias("total"), (F.col("squares") - F.col("q")).alias("squares"), some("high"), some("low"))
 
 
 def embedding_similarity(source: DataFrame, reference: DataFrame | None = None, threshold: float = 0.9, key: str = "id", vector: str = "embedding", measure: str = "cosine", keep: str = "none") -> DataFrame:
@@ -95,19 +216,21 @@ def embedding_similarity(source: DataFrame, reference: DataFrame | None = None,
     return source.join(gone, key, "left_anti")
 
 
-def _later(df: DataFrame, threshold: float, key: str, vector: str, measure: str, rows: int = BLOCK) -> DataFrame:
-    left, right = _blocks(df, key, vector, rows, ("a", "x")), _blocks(df, key, vector, rows, ("b", "y"))
+def _later(df: DataFrame, threshold: float, key: str, vector: str, measure: str, rows: int = ROWS) -> DataFrame:
+    def compare(x: _Side, y: _Side, one: bool) -> dict:
+        (i, u), (j, v) = x.usable(measure), y.usable(measure)
+        gone, back = np.zeros(len(i), bool), np.zeros(len(j), bool)
+        if one:
+            back = gone
+        a, b = x.ids[i], y.ids[j]
+        for r, c, s, _ in _tiles(u, v, a, b, one, measure):
+            m, n = np.nonzero(s < threshold * abs(threshold) if measure == "l2" else s > threshold)
+            m, n = m + r.start, n + c.start
+            gone[m[b[n] < a[m]]] = True
+            back[n[a[m] < b[n]]] = True
+        return {"id": a[gone] if one else np.concatenate([a[gone], b[back]])}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                ids, u = _matrix(batch.column(1)[k])
-                others, v = _matrix(batch.column(3)[k])
-                s = _similar(u, v, measure)
-                near = (s < threshold if measure == "l2" else s > threshold) & (others[None, :] < ids[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[near.any(1)])], ["id"])
-
-    return left.crossJoin(right).select("a", "x", "b", "y").mapInArrow(run, "id long").distinct().withColumnRenamed("id", key)
+    return _cells(df, None, key, vector, rows, compare, "id long").distinct().withColumnRenamed("id", key)
 
 
 def tokens(text):
@@ -381,30 +504,60 @@ def jaccard_pairs(source: DataFrame, reference: DataFrame | None = None, thresho
     return rows.where("a <> b") if own else rows
 
 
-def nearest(source: DataFrame, reference: DataFrame | None = None, k: int = 1, key: str = "id", vector: str = "embedding", rows: int = BLOCK) -> DataFrame:
-    """(id, other, score, rank): each row's ``k`` nearest by cosine, exactly; of equal scores the least id."""
+def nearest(source: DataFrame, reference: DataFrame | None = None, k: int = 1, key: str = "id", vector: str = "embedding", rows: int = ROWS) -> DataFrame:
+    """(id, other, score, rank): each row's ``k`` nearest by cosine, exactly; of scores equal to 9 places the least id."""
     own = reference is None
-    left, right = _blocks(source, key, vector, rows, ("a", "x")), _blocks(source if own else reference, key, vector, rows, ("b", "y"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in range(len(batch)):
-                ids, u = _matrix(batch.column(1)[p])
-                others, v = _matrix(batch.column(3)[p])
-                s = np.round(_similar(u, v, "cosine"), 9)
-                if own:
-                    s[ids[:, None] == others] = np.nan
-                order = np.lexsort((np.broadcast_to(others, s.shape), -s), axis=1)[:, :k]
-                own_rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                got = s[own_rows, order.ravel()]
-                ok = ~np.isnan(got)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own_rows][ok]), pa.array(others[order.ravel()][ok]), pa.array(got[ok])], ["id", "other", "score"])
+    def compare(x: _Side, y: _Side, one: bool) -> dict:
+        (i, u), (j, v) = x.usable("cosine"), y.usable("cosine")
+        a, b = x.ids[i], y.ids[j]
+        tops = _Top(len(a), k), None if one else _Top(len(b), k)
+        for r, c, s, same in _tiles(u, v, a, b, one, "cosine"):
+            s = _no_scores(s, same, -np.inf)
+            tops[0].take(s, r, b[c])
+            if own and not (one and r == c):
+                tops[0 if one else 1].take(s.T, c, a[r])
+        sides = [(a, tops[0])] + [(b, tops[1])] * (own and not one)
+        got = [(np.repeat(ids, k), t.other.ravel(), t.score.ravel(), t.whole.ravel()) for ids, t in sides]
+        ids, other, score, whole = (np.concatenate([g[n] for g in got]) for n in range(4))
+        ok = score > -np.inf
+        return {"id": ids[ok], "other": other[ok], "near": score[ok], "score": whole[ok]}
 
     from pyspark.sql import Window
 
-    found = left.crossJoin(right).select("a", "x", "b", "y").mapInArrow(run, "id long, other long, score double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    found = _cells(source, reference, key, vector, rows, compare, "id long, other long, near double, score double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("near"), "other"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("near")
+
+
+class _Top:
+    """The ``k`` best partners of each row so far, best first, with scores to 9 places and whole. Tiles come by id of partner, so of equal scores those kept stay."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.score, self.whole, self.other = k, np.full((n, k), -np.inf), np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+
+    def take(self, s: np.ndarray, rows: slice, ids: np.ndarray) -> None:
+        last = self.score[rows, -1]
+        if np.isinf(last).any() and s.shape[1] > self.k:
+            # nothing below the tile's own k-th, but what rounds to the same
+            own = s.max(1) if self.k == 1 else np.partition(s, -self.k, axis=1)[:, -self.k]
+            least = np.where(np.isinf(last), own - 1.1e-9, last + 4e-10)
+        else:
+            least = last + 4e-10
+        at, column = np.nonzero(s > least[:, None])
+        if not len(at):
+            return
+        some = np.unique(at)
+        places = rows.start + some
+        row = np.r_[at, np.repeat(some, self.k)]
+        whole = np.r_[s[at, column], self.whole[places].ravel()]
+        score = np.r_[np.round(s[at, column], 9), self.score[places].ravel()]
+        other = np.r_[ids[column], self.other[places].ravel()]
+        order = np.lexsort((other, -score, row))
+        row, score, whole, other = row[order], score[order], whole[order], other[order]
+        begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        best = begins[:, None] + np.arange(self.k)
+        self.score[places], self.whole[places], self.other[places] = score[best], whole[best], other[best]
 
 
 for _name, _function in (("embedding_similarity", embedding_similarity), ("exact_match", exact_match), ("jaccard_similarity", jaccard_similarity)):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions import messages as M
-from .dedup import BLOCK, best_scores, block_scores
+from .dedup import ROWS, best_scores, score_moments
 
 BINS = tuple(1024 * 2**k for k in range(8))
 THRESHOLDS = tuple(k / 10 for k in range(10))
@@ -23,9 +23,9 @@ def threshold_sweep(source: DataFrame, reference: DataFrame | None = None, thres
     return per.select("threshold", "rows", F.round(F.try_divide(F.col("rows") * 100.0, "n"), 6).alias("percent"))
 
 
-def score_stats(source: DataFrame, reference: DataFrame | None = None, key: str = "id", vector: str = "embedding", rows: int = BLOCK) -> DataFrame:
+def score_stats(source: DataFrame, reference: DataFrame | None = None, key: str = "id", vector: str = "embedding", rows: int = ROWS) -> DataFrame:
     """(pairs, mean, std, max, min) over all pairs of rows, those of a row with itself counting as 0; rounded to 9 places."""
-    s = block_scores(source, reference, key, vector, rows=rows).agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("squares").alias("q"), F.max("high").alias("h"), F.min("low").alias("l"))
+    s = score_moments(source, reference, key, vector, rows).select("n", F.col("total").alias("t"), F.col("squares").alias("q"), F.col("high").alias("h"), F.col("low").alias("l"))
     mean = F.try_divide("t", "n")
     std = F.sqrt(F.greatest(F.try_divide("q", "n") - mean * mean, F.lit(0.0)))
     return s.select(F.col("n").cast("long").alias("pairs"), F.round(mean, 9).alias("mean"), F.round(std, 9).alias("std"), F.round("h", 9).alias("max"), F.round("l", 9).alias("min"))

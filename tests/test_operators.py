@@ -57,6 +57,24 @@ def test_scores_against_numpy(spark, rows):
     assert all(near[k, j + 1] == np.argsort(-s[k])[j] for k in range(40) for j in range(3))
 
 
+def test_distances_of_far_vectors(spark):
+    """Squares of distances cancel far from the origin; the distances that are given don't. Of equal scores the least id is the nearest."""
+    x = np.random.default_rng(4).normal(size=(60, 6)) * 1e-4 + 1e5
+    x[7] = x[3]
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, embedding array<double>")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert {r.id: r.best for r in dedup.best_scores(df, measure="l2", rows=25).collect()}[3] == 0
+    near = {(r.id, r["rank"]): r.other for r in dedup.nearest(df.union(df.selectExpr("id + 100", "embedding")), df.where("id < 9"), rows=20).collect()}
+    assert near[3, 1] == near[103, 1] == near[7, 1]
+
+
+def test_blocks_meet_once(spark):
+    """Each two blocks of a set are scored in one task, from both sides."""
+    plan = dedup.best_scores(spark.createDataFrame([(k, [1.0, k * 1.0]) for k in range(50)], "id long, embedding array<float>"), rows=5)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_jaccard_against_brute_force(spark):
     r = random.Random(5)
     texts = [" ".join(r.choices("abcdefghij", k=r.randint(0, 9))) for _ in range(80)]
