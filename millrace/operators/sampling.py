@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from .dataset import number_rows, order_key, select_by_ids
 
+#: Rows of a sample that one task may bring together.
+FEW = 10_000
+
 
 def sample(df: DataFrame, num: int | None = None, ratio: float | None = None, seed: int = 42, key: str = "id", parity: bool = False) -> DataFrame:
     """Exactly ``num`` rows, or ``int(n * ratio)``, without replacement, in pseudo-random order.
 
-    The rows are those of least hash of seed and id: one top-k, no shuffle of the rest. ``parity`` draws
-    as Python's generator does, over all ids on the driver, for small sets only.
+    The rows are those of least hash of seed and id: of few one top-k, no shuffle of the rest; of more the
+    keys alone are sorted and numbered, and rows up to the last wanted are sorted. ``parity`` draws as
+    Python's generator does, over all ids on the driver, for small sets only.
     """
     if (num is None) == (ratio is None):
         raise ValueError("give either num or ratio")
@@ -26,7 +30,17 @@ def sample(df: DataFrame, num: int | None = None, ratio: float | None = None, se
     if parity:
         ids = [r[0] for r in df.select(key).orderBy("pos" if "pos" in df.columns else key).collect()]
         return select_by_ids(df, random.Random(seed).sample(ids, k), key)
-    return df.orderBy(order_key(F.col(key), seed), key).limit(k)
+    order = [order_key(F.col(key), seed), F.col(key)]
+    if k <= FEW:
+        return df.orderBy(*order).limit(k)
+    # a limit behind a sort would bring all k rows to one task
+    # the k-th key bounds the rows: they are filtered where they lie, and of equal keys as many taken as are wanted
+    numbered = number_rows(df.select(F.col(key).alias("_key")), order_key(F.col("_key"), seed), F.col("_key"), name="_k")
+    last = numbered.where(F.col("_k") == k - 1).first()["_key"]
+    less = numbered.where(F.col("_key").eqNullSafe(F.lit(last))).agg(F.min("_k")).first()[0]
+    before = F.struct(*order) < F.struct(order_key(F.lit(last), seed), F.lit(last).cast(df.schema[key].dataType))
+    rows = df.where(before).unionByName(df.where(F.col(key).eqNullSafe(F.lit(last))).limit(k - less))
+    return rows.orderBy(*order)
 
 
 def dry_run(df: DataFrame, n: int = 16, seed: int = 42, key: str = "id") -> DataFrame:

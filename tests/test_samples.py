@@ -116,6 +116,17 @@ def test_sample_ratio(spark, n, ratio, k):
     assert sampling.sample(spark.range(n), ratio=ratio).count() == k
 
 
+def test_large_samples_come_in_parallel(spark, monkeypatch):
+    """The same rows in the same order as by one top-k, of equal ids too, without a limit of all behind the sort."""
+    df = spark.range(3000).selectExpr("id % 1000 as id", "id as n").repartition(7)
+    few = sampling.sample(df, num=1000)
+    monkeypatch.setattr(sampling, "FEW", 100)
+    many = sampling.sample(df, num=1000)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit 1000" not in plan and plan.startswith("Sort")
+    assert ids(many) == ids(few)
+
+
 def test_sample_parity(spark):
     assert ids(sampling.sample(spark.range(1000), num=10, parity=True)) == [654, 114, 25, 759, 281, 250, 228, 142, 754, 104]
     with pytest.raises(ValueError):
