@@ -24,6 +24,8 @@ FAILURES: tuple[type[Exception], ...] = (AssertionError, CallError, ValueError,
 
 
 MODES = ("thread", "coroutine", "serial")
+#: Rows of a task whose texts and answers are held at once, if there aren't more workers; ranks that run at once.
+HELD, RANKS = 256, 8
 
 
 def call_rows(df: DataFrame, key: str, payload: str, function: Callable[[str], str], workers: int = 8, mode: str = "thread") -> DataFrame:
@@ -59,15 +61,17 @@ def call_rows(df: DataFrame, key: str, payload: str, function: Callable[[str], s
         return list(await asyncio.gather(*map(one_of, texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with ThreadPoolExecutor(workers) as pool:
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                if mode == "coroutine":
-                    rows = asyncio.run(all_of(texts))
-                else:
-                    rows = list(pool.map(one, texts)) if workers > 1 and mode == "thread" else [one(t) for t in texts]
-                ok, value, name, error = zip(*rows) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ok, pa.bool_()), pa.array(value, pa.string()), pa.array(name, pa.string()), pa.array(error, pa.string())], [key, "ok", "value", "error_class", "error"])
+        with ThreadPoolExecutor(workers) as pool, asyncio.Runner() as loop:
+            for whole in batches:
+                # a part at a time: texts, answers and coroutines of a whole batch would be held at once
+                for batch in (whole.slice(at, max(HELD, workers)) for at in range(0, len(whole), max(HELD, workers))):
+                    texts = batch.column(1).to_pylist()
+                    if mode == "coroutine":
+                        rows = loop.run(all_of(texts))
+                    else:
+                        rows = list(pool.map(one, texts)) if workers > 1 and mode == "thread" else [one(t) for t in texts]
+                    ok, value, name, error = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ok, pa.bool_()), pa.array(value, pa.string()), pa.array(name, pa.string()), pa.array(error, pa.string())], [key, "ok", "value", "error_class", "error"])
 
     return df.select(key, payload).mapInArrow(run, f"`{key}` {kind}, {RESULT}")
 
@@ -124,8 +128,8 @@ def cached_calls(df: DataFrame, key: str, payload: str, function: Callable[[str]
 def run_checkpointed(df: DataFrame, key: str, payload: str, function: Callable[[str], str], folder: str, every: int | None = None, resume: bool = False, reruns: int = 0, workers: int = 8, mode: str = "thread") -> DataFrame:
     """(key, ok, value, error_class, error, attempt) of all rows, written rank by rank so that a run can be taken up again.
 
-    Rows go in order of key, ``every`` at a time (all at once by default); each rank is a Parquet folder
-    under ``folder/ranks``, complete when it has its success mark. With ``resume`` rows that a complete
+    Rows go in order of key, ``every`` to a rank (all in one by default), and up to RANKS ranks at once; each is a Parquet
+    folder under ``folder/ranks``, complete when it has its success mark. With ``resume`` rows that a complete
     rank has, rejected ones too, aren't called again; otherwise this run's own folder is emptied. Rejected
     rows are called again up to ``reruns`` times, or until none is left if negative; a row's last attempt counts.
     """
@@ -153,10 +157,21 @@ def run_checkpointed(df: DataFrame, key: str, payload: str, function: Callable[[
             numbered.write.partitionBy("_rank").parquet(path)
             todo = spark.read.schema(numbered.schema).parquet(path)
             parts = todo.agg(F.coalesce(F.max("_rank") + 1, F.lit(0))).first()[0]
-        for k in range(parts):
+        at = 1 + max((int(p.rsplit("/", 1)[-1]) for p in _list(spark, ranks)), default=-1) if _exists(spark, ranks) else 0
+
+        def one(k: int) -> None:
             part = todo.where(F.col("_rank") == k) if every is not None else todo
-            rank = len(_list(spark, ranks)) if _exists(spark, ranks) else 0
-            call_rows(part, key, payload, function, workers, mode).withColumn("attempt", F.lit(attempt)).write.mode("overwrite").parquet(f"{ranks}/{rank:06d}")
+            call_rows(part, key, payload, function, workers, mode).withColumn("attempt", F.lit(attempt)).write.mode("overwrite").parquet(f"{ranks}/{at + k:06d}")
+
+        # a rank is a small job that waits more than it works, so several run at once; after a failure none begins
+        with ThreadPoolExecutor(RANKS) as pool:
+            jobs = [pool.submit(one, k) for k in range(parts)]
+            try:
+                for job in jobs:
+                    job.result()
+            except BaseException:
+                pool.shutdown(cancel_futures=True)
+                raise
 
     call(df.join(done().select(key).distinct(), key, "left_anti") if resume else df, 0)
     attempt = 0

@@ -6,6 +6,8 @@ import time
 
 import numpy as np
 import pytest
+
+from millrace.external import calls
 from pyspark.sql import functions as F
 
 from millrace.cli import main
@@ -199,3 +201,35 @@ def test_reduced_dimensions(spark):
         got = np.array([r.reduced for r in stats.reduce_dimensions(df, 2, method=method).orderBy("id").collect()])
         want = x @ axes[:2].T
         assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
+def test_a_batch_is_not_held_at_once(spark):
+    async def tasks_now(text):
+        import asyncio
+
+        return str(len(asyncio.all_tasks()))
+
+    df = spark.range(3000).selectExpr("id", "cast(id as string) as payload").coalesce(1)
+    got = calls.call_rows(df, "id", "payload", tasks_now, mode="coroutine").collect()
+    assert [r.id for r in got] == list(range(3000)) and max(int(r.value) for r in got) <= calls.HELD + 2
+
+
+def test_ranks_run_at_once(spark, tmp_path):
+    """Each call waits until another rank's has begun."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def wait(text):
+        import os
+        import time
+
+        (seen / text).touch()
+        for _ in range(300):
+            if len(os.listdir(seen)) > 1:
+                return text
+            time.sleep(0.1)
+        raise RuntimeError("no other rank")
+
+    df = spark.createDataFrame([(k, str(k)) for k in range(2)], "id long, payload string")
+    got = calls.run_checkpointed(df, "id", "payload", wait, str(tmp_path / "run"), every=1).collect()
+    assert sorted(r.value for r in got) == ["0", "1"]
